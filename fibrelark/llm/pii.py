@@ -192,9 +192,13 @@ def _redact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(parts):
         k = batch.schema.get_field_index("text")
         texts = [None if t is None else redact_text(t) for t in batch.column(k).to_pylist()]
-        yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+        batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+        if (n := batch.schema.get_field_index("n_chars")) >= 0:
+            field = batch.schema.field(n)
+            batch = batch.set_column(n, field, pa.array([None if t is None else len(t) for t in texts], field.type))
+        yield batch
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All rows and columns, with personal data in ``text`` replaced."""
+    """All rows and columns, with personal data in ``text`` replaced; a column n_chars follows."""
     return docs.mapInArrow(_redact, docs.schema)
