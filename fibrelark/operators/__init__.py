@@ -1 +1 @@
-
+"""Operators on telemetry tables."""

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -39,3 +42,21 @@ def local_session(cores: int | None = None, memory: str = "8g", **conf: str) ->
         "spark__ui__showConsoleProgress": "false",
     }
     return build_session(master=f"local[{cores}]", **(defaults | conf))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives executors this package, once per application, unless their Python path has it anyway."""
+    root = Path(__file__).resolve().parent.parent
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    key = spark.sparkContext.applicationId
+    if key in _SHIPPED or any(p and Path(p).resolve() == root for p in paths):
+        return
+    target = Path(tempfile.mkdtemp(prefix="fibrelark-code-")) / "fibrelark.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted((root / "fibrelark").rglob("*.py")):
+            archive.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(key)
