@@ -54,6 +54,7 @@ def complete(frame: DataFrame, keys: list[str], step: int, time: str = "timestam
     us = micros(F.col(time))
     after = F.lead(us).over(Window.partitionBy(*keys).orderBy(time))
     others = [c for c in frame.columns if c not in (*keys, time)]
-    spread = frame.withColumn("__at", F.explode(F.sequence(us, F.coalesce(after - F.lit(step), us), F.lit(step).cast("long"))))
+    ended = frame.withColumn("__last", F.coalesce(after - F.lit(step), us))
+    spread = ended.withColumn("__at", F.explode(F.sequence(us, "__last", F.lit(step).cast("long"))))
     own = F.col("__at") == us
     return spread.select(*keys, from_micros(F.col("__at")).alias(time), *[F.when(own, F.col(c)).alias(c) for c in others])

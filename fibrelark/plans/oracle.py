@@ -203,8 +203,8 @@ LEFT JOIN cs c ON c.entity_id = p.entity_id AND c.tk = p.tk AND c.pos >= 12""",
     "q27_midrank_normaliser": "WITH c AS (SELECT round(value, 0) AS value, count(*) AS n FROM events GROUP BY 1) SELECT value, round((sum(n) OVER (ORDER BY value) - n / 2.0) / sum(n) OVER (), 6) AS rank FROM c",
     "q28_interp_score": f"WITH {_SCORED} SELECT entity_id, tk AS timestamp, round(raw, 6) + 0.0 AS raw, round(score, 6) + 0.0 AS score FROM scored",
     "q29_combined_score": f"""
-WITH {_GRID} SELECT entity_id, tk AS timestamp, CASE WHEN v IS NOT NULL AND (tk // {_H}) % 24 <> 7 THEN round(greatest(v / 1000, 0.05::DOUBLE), 6) END AS combined FROM grid""",
-    "q30_incidents_latch": f"WITH RECURSIVE {_MACHINE} SELECT * REPLACE (round(max_score, 6) AS max_score) FROM incidents",
+WITH {_GRID} SELECT entity_id, tk AS timestamp, CASE WHEN v IS NOT NULL AND (tk // {_H}) % 24 <> 7 THEN round(greatest(v / 997, 0.05::DOUBLE), 6) END AS combined FROM grid""",
+    "q30_incidents_latch": f"WITH RECURSIVE {_MACHINE} SELECT * REPLACE (round(max_score, 6) AS max_score, round(end_time / 1e6, 6) AS end_time) FROM incidents",
     "q31_interval_join": f"""
 WITH RECURSIVE {_MACHINE},{_FAULTS} SELECT a.entity_id, incident_id, start_time, fault_id, onset_time, f.end_time FROM incidents a JOIN faults f
 ON a.entity_id = f.entity_id AND onset_time <= start_time AND start_time < f.end_time""",
@@ -251,7 +251,7 @@ SELECT event_type, count(*) AS paired, round({_corr("ra", "rb")}, 6) AS spearman
 WITH {_GRID}, p AS (SELECT a.entity_id, k AS lag_intervals, CASE WHEN b.v IS NOT NULL THEN a.v END AS x, CASE WHEN a.v IS NOT NULL THEN b.v END AS y FROM grid a
   CROSS JOIN (SELECT unnest([1, 6, 12, 24, 48, 168]) AS k) LEFT JOIN grid b ON a.entity_id = b.entity_id AND b.tk = a.tk - k * {_H})
 SELECT entity_id, 'rx_power_dbm' AS metric_name, lag_intervals::BIGINT AS lag_intervals, (lag_intervals * 60)::BIGINT AS lag_minutes, count(x) AS paired_observations,
-  round({_corr("x", "y")}, 6) + 0.0 AS autocorrelation FROM p GROUP BY 1, 3""",
+  round({_corr("x", "y")}, 6) + 0.0 AS autocorrelation FROM p GROUP BY p.entity_id, p.lag_intervals""",
     "q46_hourly_profile": f"""
 WITH {_GRID}, m AS (SELECT entity_id, median(v) AS m FROM grid GROUP BY 1)
 SELECT 'rx_power_dbm' AS metric_name, ((tk // {_H}) % 24)::BIGINT AS hour, round(median(v - m), 6) + 0.0 AS median_centred FROM grid JOIN m USING (entity_id) GROUP BY 2""",
