@@ -71,9 +71,9 @@ class Evaluator:
         runs = work.filter(held).groupBy("fault_id", "island").count()
         return runs.filter(F.col("count") >= self.opportunity_intervals).select("fault_id").distinct()
 
-    def outcomes(self, scope: Scope, matches: DataFrame) -> DataFrame:
+    def outcomes(self, scope: Scope, matches: DataFrame, chances: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
         """One row for each fault of the period."""
-        chances = self.opportunities(scope.faults, scope.available).withColumn("opportunity", F.lit(True))
+        chances = (self.opportunities(scope.faults, scope.available) if chances is None else chances).withColumn("opportunity", F.lit(True))
         alerts = scope.alerts.select("incident_id", "start_time")
         joined = scope.faults.join(matches.select("fault_id", "incident_id"), "fault_id", "left").join(alerts, "incident_id", "left").join(chances, "fault_id", "left")
         shift = F.col("fault_type") == "variance_shift"
@@ -83,6 +83,7 @@ class Evaluator:
         early = F.coalesce(F.col("start_time") < F.col("impact_time"), F.lit(False))
         lead = minutes(F.col("impact_time"), F.col("start_time"))
         return joined.select(
+            *by,
             "fault_id",
             "fault_type",
             F.col("incident_id").isNotNull().alias("detected"),
@@ -96,17 +97,18 @@ class Evaluator:
             kind.alias("delay_reference"),
         )
 
-    def alert_classes(self, scope: Scope, matches: DataFrame) -> DataFrame:
+    def alert_classes(self, scope: Scope, matches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         """incident_id and class: matched, duplicate (in a fault of the period), boundary, or unmatched."""
         within = lambda table: eligible(scope.alerts, table).select("incident_id").distinct()
-        out = scope.alerts.select("incident_id")
+        out = scope.alerts.select(*by, "incident_id")
         for name, ids in (("m", matches.select("incident_id").distinct()), ("d", within(scope.faults)), ("b", within(scope.boundary))):
             out = out.join(ids.withColumn(name, F.lit(True)), "incident_id", "left")
         kind = F.when(F.col("m"), "matched").when(F.col("d"), "duplicate").when(F.col("b"), "boundary").otherwise("unmatched")
-        return out.select("incident_id", kind.alias("class"))
+        return out.select(*by, "incident_id", kind.alias("class"))
 
-    def metrics(self, scope: Scope, outcomes: DataFrame, classes: DataFrame) -> DataFrame:
-        """One row of counts, recalls and workload; a ratio over nothing is NULL."""
+    def metrics(self, scope: Scope, outcomes: DataFrame, classes: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+        """Counts, recalls and workload: one row, or one for each row of ``groups``; a ratio over nothing is NULL."""
+        by = [] if groups is None else groups.columns
         n = F.count(F.lit(1))
         hits = lambda c: F.count_if(c)
         chance, early, timely = F.col("opportunity"), F.col("pre_impact"), F.col("minimum_lead")
@@ -119,7 +121,7 @@ class Evaluator:
                 hits(chance & early & (F.col("opportunity_reference") == column)).alias(f"{name}_pre_impact_detected"),
             )
         ]
-        of_faults = outcomes.agg(
+        of_faults = outcomes.groupBy(*by).agg(
             n.alias("faults"),
             hits(F.col("detected")).alias("detected"),
             hits(chance).alias("warning_opportunities"),
@@ -131,7 +133,7 @@ class Evaluator:
             F.median(F.when(~observable, F.col("delay_minutes"))).alias("median_variance_onset_delay_minutes"),
             *by_reference,
         )
-        of_alerts = classes.agg(
+        of_alerts = classes.groupBy(*by).agg(
             n.alias("incidents"),
             hits(F.col("class") == "unmatched").alias("unmatched_incidents"),
             hits(F.col("class") == "duplicate").alias("duplicate_incidents"),
@@ -141,10 +143,15 @@ class Evaluator:
             (n * F.lit(self.interval_minutes / 1440)).alias("monitored_entity_days"),
             F.avg(F.col("value").isNotNull().cast("double")).alias("observation_coverage"),
         )
-        edges = scope.boundary.agg(n.alias("boundary_faults"))
-        row = of_faults.crossJoin(of_alerts).crossJoin(of_rows).crossJoin(edges)  # four tables of one row
+        edges = scope.boundary.groupBy(*by).agg(n.alias("boundary_faults"))
+        if groups is None:
+            row = of_faults.crossJoin(of_alerts).crossJoin(of_rows).crossJoin(edges)  # four tables of one row
+        else:
+            row = groups.join(of_faults, by, "left").join(of_alerts, by, "left").join(edges, by, "left").crossJoin(F.broadcast(of_rows))
+            row = row.fillna(0, subset=[k for k, kind in row.dtypes if kind == "bigint"])
         c = F.col
         return row.select(
+            *by,
             "faults",
             "detected",
             (c("faults") - c("detected")).alias("missed"),
@@ -185,6 +192,28 @@ class Evaluator:
         outcomes = self.outcomes(scope, matches)
         return self.metrics(scope, outcomes, self.alert_classes(scope, matches)), outcomes
 
+    def evaluate_policies(self, incidents: DataFrame, policies: DataFrame, truth: DataFrame, telemetry: DataFrame, start: datetime, end: datetime) -> DataFrame:
+        """A row of metrics for each policy_id, in one plan.
+
+        Entities, alerts and faults are told apart by policy, so every operator of a
+        single evaluation serves all of them; opportunities do not depend on the
+        policy and are found once.
+        """
+        ids = policies.select("policy_id")
+        tag = lambda c: F.concat_ws("|", F.col("policy_id"), F.col(c)).alias(c)
+        whole = self.scope(incidents.drop("policy_id"), truth, telemetry, start, end, check=False)
+        chances = self.opportunities(whole.faults, whole.available)
+
+        def each(table: DataFrame) -> DataFrame:
+            return F.broadcast(ids).crossJoin(table).select("policy_id", *[tag(c) if c in ("fault_id", "entity_id") else F.col(c) for c in table.columns])
+
+        period = (F.col("start_time") >= F.lit(start)) & (F.col("start_time") < F.lit(end))
+        alerts = incidents.filter(period).select("policy_id", tag("incident_id"), tag("entity_id"), "start_time")
+        scope = Scope(alerts, each(whole.faults).persist(), each(whole.boundary), whole.available)
+        matches = match_events(scope.alerts, scope.faults, check=False).persist()
+        outcomes = self.outcomes(scope, matches, each(chances).select("fault_id"), ("policy_id",))
+        return self.metrics(scope, outcomes, self.alert_classes(scope, matches, ("policy_id",)), ids)
+
 
 DETECTORS = ("statistical", "isolation_forest", "combined")
 
@@ -228,25 +257,13 @@ def tune(
     scores: DataFrame, truth: DataFrame, telemetry: DataFrame, start: datetime, end: datetime, evaluator: Evaluator, base: Policy,
     openings: list[int], closings: list[int], budget: float, detectors: tuple[str, ...] = DETECTORS,
 ) -> DataFrame:
-    """A row of metrics for each policy, best first. The incidents of all policies come from one plan."""
-    spark = scores.sparkSession
-    policies = policy_table(spark, openings, closings, base, detectors)
+    """A row of metrics for each policy, best first; incidents and evaluation of all policies are one plan."""
+    policies = policy_table(scores.sparkSession, openings, closings, base, detectors)
     incidents = incidents_of_policies(scores, policies).persist()
-    coverage = scores.agg(*[F.avg(F.col(d).isNotNull().cast("double")).alias(d) for d in DETECTORS]).first()
-    gaps = {r["policy_id"]: r["n"] for r in incidents.groupBy("policy_id").agg(F.count_if(F.col("reason") == "telemetry_gap").alias("n")).collect()}
-    rows = []
-    for p in policies.collect():
-        own = incidents.filter(F.col("policy_id") == p["policy_id"]).drop("policy_id")
-        metrics = evaluator.evaluate(own, truth, telemetry, start, end, check=not rows)[0].first().asDict()
-        nuisance = metrics["nuisance_per_1000_entity_days"]
-        rows.append(
-            {k: p[k] for k in ("detector", "high", "low", "opening_intervals", "closing_intervals", "max_gap_hours")}
-            | metrics
-            | {"score_coverage": coverage[p["detector"]], "telemetry_gap_closures": int(gaps.get(p["policy_id"], 0))}
-            | {"meets_workload_budget": nuisance is not None and nuisance <= budget}
-        )
-    incidents.unpersist()
-    kinds = {str: "string", bool: "boolean", int: "long", float: "double", type(None): "double"}
-    whole = {k: next((type(r[k]) for r in rows if r[k] is not None), float) for k in rows[0]}
-    schema = ", ".join(f"{k} {kinds[t]}" for k, t in whole.items())
-    return ranked(spark.createDataFrame([tuple(None if r[k] is None else whole[k](r[k]) for k in whole) for r in rows], schema))
+    metrics = evaluator.evaluate_policies(incidents, policies, truth, telemetry, start, end)
+    gaps = incidents.groupBy("policy_id").agg(F.count_if(F.col("reason") == "telemetry_gap").alias("telemetry_gap_closures"))
+    coverage = scores.agg(*[F.avg(F.col(d).isNotNull().cast("double")).alias(d) for d in DETECTORS])
+    coverage = coverage.unpivot([], list(DETECTORS), "detector", "score_coverage")
+    table = policies.drop("interval_minutes").join(metrics, "policy_id").join(F.broadcast(coverage), "detector").join(gaps, "policy_id", "left")
+    table = table.fillna(0, subset=["telemetry_gap_closures"]).drop("policy_id")
+    return ranked(table.withColumn("meets_workload_budget", F.coalesce(F.col("nuisance_per_1000_entity_days") <= F.lit(budget), F.lit(False))))
