@@ -5,7 +5,9 @@ word, and the probability of a word is the sum over all its segmentations, by
 forward recursion in log space. Scores of the strings come from the vocabulary's own
 order (as a prior) and from the training documents: every distinct training word is
 cut by the existing tokenizer and counted by its frequency. A character outside the
-vocabulary is spelt by its bytes. A document is its words and one end.
+vocabulary is spelt by its bytes. A word of the training documents is one more arc over
+its whole length, weighed by its count; the other arcs share the probability of unseen
+words (Good-Turing: the share of words found once). A document is its words and one end.
 
 Corpus counts are a table of words. Words found in more than ``N / FREQUENT`` of all
 training tokens number less than FREQUENT, so their counts are broadcast; the others
@@ -181,13 +183,20 @@ def learned_scores(path: str, counted: dict[int, int], ends: int) -> tuple[dict[
     return scores, byte_scores, math.log((ends + 1.0) / whole)
 
 
-def _lattice_scores(model):  # noqa: ANN001, ANN202
+def with_whole(spelt: np.ndarray, counts: np.ndarray, total: int, unseen: float) -> np.ndarray:
+    """Adds the arc over the whole token: log of (1 - unseen) * count / total + unseen * spelt."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(unseen) + spelt, np.log1p(-unseen) + np.log(counts / max(total, 1)))
+
+
+def _lattice_scores(model, total: int, unseen: float):  # noqa: ANN001, ANN202
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, byte_scores = model.value
         lattice = Lattice(scores, byte_scores)
         for batch in batches(parts):
             # Bytes that are no UTF-8 never occur in a string column; replacing keeps the task alive if they do.
-            lattice_scores = [lattice.log_probability(w.decode("utf-8", "replace")) for w in batch.column(0).to_pylist()]
+            spelt = np.array([lattice.log_probability(w.decode("utf-8", "replace")) for w in batch.column(0).to_pylist()], float)
+            lattice_scores = with_whole(spelt, batch.column(1).to_numpy(zero_copy_only=False).astype(float), total, unseen)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lattice_scores, pa.float64())], names=["word", "n", "lattice"])
 
     return run
@@ -239,9 +248,11 @@ def score_documents(spark: SparkSession, docs: DataFrame, vocabulary_path: str)
     stats = counted.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.count_if(F.col("n") > 0).alias("distinct"),
+        F.count_if((F.col("n") == 1) & F.col("word").isNotNull()).alias("once"),
         F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends"),
     ).first()
     total, ends = stats["total"], stats["ends"]
+    unseen = min(1.0, max(stats["once"], 1) / max(total, 1))
     whole = math.log10(total + 0.5 * (stats["distinct"] + 1))
 
     words = counted.filter("word is not null")
@@ -249,9 +260,11 @@ def score_documents(spark: SparkSession, docs: DataFrame, vocabulary_path: str)
     pieces = words.filter("n > 0").mapInArrow(_piece_counts(vocabulary_path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     scores, byte_scores, end_score = learned_scores(vocabulary_path, {r["piece"]: r["n"] for r in pieces.collect()}, ends)
     model = spark.sparkContext.broadcast((scores, byte_scores))
-    table = scratch.write(words.mapInArrow(_lattice_scores(model), "word binary, n long, lattice double"), "words")
+    table = scratch.write(words.mapInArrow(_lattice_scores(model, total, unseen), "word binary, n long, lattice double"), "words")
     scratch.drop("counts")
 
+    end_score = float(with_whole(np.array([end_score]), np.array([float(ends)]), total, unseen)[0])
+
     # Each of these has more than total / FREQUENT tokens, so there are less than FREQUENT of them.
     often = table.filter(F.col("n") * FREQUENT > total)
     ten = math.log(10.0)

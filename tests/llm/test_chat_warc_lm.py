@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -142,6 +143,13 @@ def test_lm_rows_match_a_plain_version(spark, monkeypatch):
     assert alone.collect() == []
 
 
+def test_whole_words_are_one_more_arc():
+    spelt, counts = np.log([0.25, 0.01, 0.5]), np.array([3.0, 0.0, 1.0])
+    got = np.exp(lm_scoring.with_whole(spelt, counts, 10, 0.2))
+    assert got.tolist() == pytest.approx([0.8 * 0.3 + 0.2 * 0.25, 0.2 * 0.01, 0.8 * 0.1 + 0.2 * 0.5])
+    assert np.exp(lm_scoring.with_whole(spelt, counts * 0, 0, 1.0)).tolist() == pytest.approx([0.25, 0.01, 0.5])
+
+
 def test_scores_sum_to_one():
     scores, byte_scores, end = lm_scoring.learned_scores(public_tokenizers.path("piece_bpe_32k.model"), {300: 5000, 400: 70}, 12)
     assert sum(map(math.exp, scores.values())) + sum(map(math.exp, byte_scores)) + math.exp(end) == pytest.approx(1.0)
