@@ -513,8 +513,10 @@ def _extract(model):  # noqa: ANN001, ANN202
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page; one pass without exchange after the sample."""
-    key = F.xxhash64("page_id")
-    sample = pages.select(key.alias("key"), "html").filter("html is not null").orderBy("key", "html").limit(TRAIN_PAGES)
+    # The bound comes from keys alone, so that no task sends pages which the sample does not take.
+    keyed = pages.filter("html is not null").select(F.xxhash64("page_id").alias("key"), "html")
+    bound = keyed.select("key").orderBy("key").limit(TRAIN_PAGES).agg(F.max("key").alias("bound")).first()["bound"]
+    sample = keyed.filter(F.col("key") <= F.lit(bound)).orderBy("key", "html").limit(TRAIN_PAGES)
     model = spark.sparkContext.broadcast(fit_model([r["html"] for r in sample.collect()]))
     wanted = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return wanted.mapInArrow(_extract(model), "page_id long, url string, text string, n_chars long")
