@@ -27,6 +27,19 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(own).filter("a <> b").distinct()
 
 
+def near_labels(links: DataFrame) -> DataFrame:
+    """(node, label) in one pass: the least node within three links downhill.
+
+    Nodes with one label are connected; connected nodes may still differ. That is
+    enough to leave out comparisons, and needs no rounds.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = _nearest(both)
+    up = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
+    once = low.join(up, "low").select("node", F.col("next").alias("low"))
+    return once.join(up, "low").select("node", F.col("next").alias("label"))
+
+
 def _state(links: DataFrame) -> tuple[int, int]:
     row = links.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0)).alias("x")).first()
     return row["n"], row["x"]

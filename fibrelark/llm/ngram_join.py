@@ -10,12 +10,15 @@
    and size ranges; below a chunk the tree goes on in the task. Dual traversal drops
    a pair of nodes when the greatest overlap their bitmaps and sizes allow is too
    small, or when all documents below are known to be connected.
-4. A first round compares each document with one pivot per shingle; that connects
-   groups of near copies with as many comparisons as documents. The traversal
-   then only meets what is not connected yet.
-5. Candidates are verified on the whole sets: 100 * overlap >= 80 * union.
+4. Before the traversal, rounds compare each document with one pivot per shingle,
+   another one in each round, as long as both are not connected; that connects groups
+   of near copies with a few comparisons per document. The traversal then only meets
+   what is not connected yet.
+5. Candidates are verified: first on the part of both sets below a fixed hash, which
+   excludes chance pairs for a fraction of the bytes, then on the whole sets:
+   100 * overlap >= 80 * union.
 
-Sets keep 48 bits of each shingle's hash.
+Sets keep 40 bits of each shingle's hash.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its
 own component; a text shorter than a shingle is one shingle; rows with a null
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fibrelark.llm.common import Scratch, batches, bytes_column, mix64
-from fibrelark.llm.components import components
+from fibrelark.llm.components import components, near_labels
 
 SHINGLE = 5
 LANES = 32  # of 64 bits each in a bitmap
@@ -43,8 +46,13 @@ CHUNK = 512  # documents in one upper node
 LEAF = 8
 SALTED = 1 << 20  # chunk numbers are chunk * SALTED + salt
 COMMON = 200_000  # shingles in the list of common ones: bounds what is broadcast
-PASS_SHINGLES = 4_000_000
-KEPT_BYTES = 6
+ROUNDS = 3  # of pivots
+SLICE = 8192  # pairs of bitmaps compared at once, which bounds a worker's memory
+REMEMBERED = 200_000  # pairs that a task does not tell twice
+PASS_SHINGLES = 2_000_000
+KEPT_BYTES = 5
+HEAD = np.uint64((1 << (8 * KEPT_BYTES)) // 6)  # hashes below this are the head of a set
+BROADCAST_IDS = 2_000_000  # ids of candidates are broadcast up to this number, joined by a shuffle beyond
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _KEPT = np.uint64((1 << (8 * KEPT_BYTES)) - 1)
@@ -54,7 +62,7 @@ class _WordHashes(dict):
     """Word to its hash; forgets all when full, which bounds a worker's memory."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -79,8 +87,12 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def _pack(hashes: np.ndarray) -> bytes:
-    return np.unique(hashes & _KEPT).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
+def _pack(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Head and tail of a set, in order."""
+    kept = np.unique(hashes & _KEPT)
+    raw = kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
+    cut = int(np.searchsorted(kept, HEAD))
+    return raw[:cut].tobytes(), raw[cut:].tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -96,30 +108,33 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
-_SETS = "doc_id long, class_id long, n long, bits array<long>, set binary"
+_SETS = "doc_id long, class_id long, n long, bits array<long>, head binary, tail binary"
 
 
 def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # classes of this task, so that many copies bring their set once
     for batch in batches(parts):
-        classes, sizes, bits, sets = [], [], [], []
+        classes, sizes, bits, heads, tails = [], [], [], [], []
         for text in bytes_column(batch, "text"):
             hashes = shingle_set(text)
             sizes.append(len(hashes))
             if not len(hashes):
                 classes.append(None)
                 bits.append(None)
-                sets.append(None)
+                heads.append(None)
+                tails.append(None)
                 continue
             digest = int(mix64(hashes.sum(dtype=np.uint64, keepdims=True) + np.bitwise_xor.reduce(mix64(hashes)))[0]) >> 1
             classes.append(digest)
             first = digest not in seen
             seen.add(digest)
             bits.append(_bitmap(hashes) if first else None)
-            sets.append(_pack(hashes) if first else None)
+            head, tail = _pack(hashes) if first else (None, None)
+            heads.append(head)
+            tails.append(tail)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-            names=["doc_id", "class_id", "n", "bits", "set"],
+            [batch.column(0).cast(pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())],
+            names=["doc_id", "class_id", "n", "bits", "head", "tail"],
         )
 
 
@@ -133,8 +148,8 @@ def _often(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, n = [], 0
     for batch in batches(parts):
-        for packed in batch.column(0).to_pylist():
-            held.append(_unpack(packed))
+        for head, tail in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.append(_unpack(head + tail))
             n += len(held[-1])
             if n >= PASS_SHINGLES:
                 yield told(held)
@@ -149,8 +164,8 @@ def _routing(common: np.ndarray, rank: np.ndarray, salts: np.ndarray):  # noqa:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
             out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for class_id, n, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                hashes = _unpack(packed)
+            for class_id, n, head, tail in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                hashes = _unpack(head + tail)
                 length = len(hashes) - (4 * len(hashes) + 4) // 5 + 1
                 if len(common):
                     at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
@@ -187,10 +202,15 @@ def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.repeat(lengths > 1, lengths) | often
         if not keep.any():
             return None
-        pivot = np.repeat(np.minimum.reduceat(classes, starts), lengths)
+        run = np.repeat(np.arange(len(starts)), lengths)
+        pivots = []
+        for turn in range(ROUNDS):
+            order = np.lexsort((mix64(classes.view(np.uint64) ^ np.uint64(turn * 0x9E3779B9)), run))
+            pivots.append(classes[order[starts]][run])
         chunk = (np.arange(len(h)) - np.repeat(starts, lengths)) // CHUNK * SALTED + salt
-        columns = (h, chunk.astype(np.int64), classes, sizes, pos, often, pivot)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["h", "chunk", "class_id", "n", "pos", "common", "pivot"])
+        columns = (h, chunk.astype(np.int64), classes, sizes, pos, often, *pivots)
+        names = ["h", "chunk", "class_id", "n", "pos", "common", *(f"pivot{k}" for k in range(ROUNDS))]
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=names)
 
     held: list[np.ndarray] | None = None
     for batch in batches(parts):
@@ -218,6 +238,18 @@ def _common_bits(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
+def _likely(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that the heads of both sets do not exclude: what is missing there already is missing from the overlap."""
+    for batch in batches(parts):
+        a, b, na, nb, x, y = (batch.column(k).to_pylist() for k in range(6))
+        keep = []
+        for n, m, one, two in zip(na, nb, x, y, strict=True):
+            one, two = _unpack(one), _unpack(two)
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            keep.append(min(n - len(one), m - len(two)) + both >= (4 * (n + m) + 8) // 9)
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(v, keep, strict=True) if k], pa.int64()) for v in (a, b)], names=["a", "b"])
+
+
 def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(parts):
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -229,6 +261,42 @@ def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(v, links, strict=True) if k], pa.int64()) for v in (a, b)], names=["a", "b"])
 
 
+def _feasible(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, n) those with a partner in their block that sizes and places allow and that is not connected.
+
+    A block of more than one chunk is passed on whole.
+    """
+    names = ["h", "chunk", "class_id", "n", "pos", "label"]
+
+    def told(rows: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+        keep = np.concatenate([wanted(rows, i, j) for i, j in zip(starts[:-1], starts[1:], strict=True)])
+        wide = np.repeat(np.diff(starts) > CHUNK, np.diff(starts))
+        return pa.RecordBatch.from_arrays([*(pa.array(v[: starts[-1]][keep]) for v in rows.values()), pa.array(wide[keep])], names=[*names, "wide"])
+
+    def wanted(rows: dict[str, np.ndarray], i: int, j: int) -> np.ndarray:
+        label = rows["label"][i:j]
+        if (label == label[0]).all():
+            return np.zeros(j - i, bool)
+        if j - i > CHUNK:
+            return np.ones(j - i, bool)
+        n, rest = rows["n"][i:j], rows["n"][i:j] - rows["pos"][i:j]
+        ok = np.minimum(rest[:, None], rest[None, :]) >= (4 * (n[:, None] + n[None, :]) + 8) // 9
+        return (ok & (label[:, None] != label[None, :])).any(axis=1)
+
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches(parts):
+        rows = {k: batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
+        if held is not None:
+            rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
+        turns = np.flatnonzero(np.diff(rows["h"]) != 0) + 1
+        last = int(turns[-1]) if len(turns) else 0
+        if last:
+            yield told(rows, np.r_[0, turns])
+        held = {k: v[last:] for k, v in rows.items()}
+    if held is not None and len(held["h"]):
+        yield told(held, np.array([0, len(held["h"])]))
+
+
 def _leaf_pairs(labels: np.ndarray, sizes: np.ndarray, pos: np.ndarray, bits: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Dual traversal of the tree over these documents (sorted by size), or of the trees of two chunks.
 
@@ -263,7 +331,8 @@ def _leaf_pairs(labels: np.ndarray, sizes: np.ndarray, pos: np.ndarray, bits: np
         ok = 4 * low[right] <= 5 * high[left]
         ok &= ~((first[left] == last[left]) & (first[right] == last[right]) & (first[left] == first[right]))
         left, right = left[ok], right[ok]
-        most = np.bitwise_count((b[left] & b[right]).view(np.uint64)).sum(1).astype(np.int64) + np.minimum(over[left], over[right])
+        common = [np.bitwise_count((b[left[i : i + SLICE]] & b[right[i : i + SLICE]]).view(np.uint64)).sum(1) for i in range(0, len(left), SLICE)]
+        most = np.concatenate([np.zeros(0, np.int64), *common]).astype(np.int64) + np.minimum(over[left], over[right])
         ok = most >= (4 * (low[left] + low[right]) + 8) // 9
         left, right = left[ok], right[ok]
         if not len(left):
@@ -289,12 +358,17 @@ def _traverse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: dict[str, np.ndarray] | None = None
     held_bits = np.zeros((0, LANES), np.int64)
+    told_before: set[tuple[int, int]] = set()
 
     def runs(rows: dict[str, np.ndarray], bits: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
         found = [told({k: v[i:j] for k, v in rows.items()}, bits[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        pairs = set(zip(a.tolist(), b.tolist(), strict=True)) - told_before
+        if len(told_before) + len(pairs) > REMEMBERED:
+            told_before.clear()
+        told_before.update(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches(parts):
         rows = {k: batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
@@ -323,61 +397,72 @@ class JaccardJoin:
 
     def _common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The common shingles in order of value, their rank in the routing order, and into how many parts each is dealt."""
-        counted = self.sets.filter("set is not null").select("set").mapInArrow(_often, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        counted = self.sets.filter("head is not null").select("head", "tail").mapInArrow(_often, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         rows = counted.filter("n >= 16").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
         rank = np.arange(len(rows), 0, -1, dtype=np.int64)  # the most common come last
         order = np.argsort(rows["h"].to_numpy(np.int64))
         salts = np.clip(-(-rows["n"].to_numpy(np.int64) // CHUNK), 1, SALTED - 1)
         return rows["h"].to_numpy(np.int64)[order], rank[order], salts[order]
 
-    def _links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of classes that link, verified on the whole sets."""
-        first = self.sets.filter("set is not null")
-        meta = first.select("class_id", "n", "bits")
-        joined = (
-            pairs.alias("p")
-            .join(meta.dropDuplicates(["class_id"]).alias("x"), F.col("p.a") == F.col("x.class_id"))
-            .join(meta.dropDuplicates(["class_id"]).alias("y"), F.col("p.b") == F.col("y.class_id"))
-        )
+    def _of(self, ids: DataFrame, *columns: str) -> DataFrame:
+        """The named columns of the classes with these ids (a column ``id``), once each.
+
+        Few ids go to the sets, many meet them by a shuffle.
+        """
+        first = self.sets.filter("head is not null").select("class_id", *columns)
+        ids = ids.select("id").distinct()
+        small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        found = first.join(F.broadcast(ids) if small else ids, F.col("class_id") == F.col("id"), "left_semi")
+        return found.dropDuplicates(["class_id"])
+
+    def _joined(self, pairs: DataFrame, name: str, *columns: str) -> DataFrame:
+        """Pairs with the columns of both sides, as a_... and b_...."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+        there = self.scratch.write(self._of(ids, *columns), name)
+        side = lambda s: there.select(F.col("class_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def _links(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs of classes that link: excluded by bitmaps, then by heads, and verified on the whole sets."""
+        scratch = self.scratch
+        pairs = scratch.write(pairs, f"{name}-pairs")
         ones = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + F.bit_count(x).cast("long"))
-        most = _common_bits("x.bits", "y.bits") + F.least(F.col("x.n") - ones("x.bits"), F.col("y.n") - ones("y.bits"))
-        likely = joined.filter((4 * F.col("x.n") <= 5 * F.col("y.n")) & (4 * F.col("y.n") <= 5 * F.col("x.n")) & (most >= _least_overlap(F.col("x.n"), F.col("y.n"))))
-        likely = likely.select("p.a", "p.b")
-        wanted = first.select("class_id", "set")
-        both = (
-            likely.join(wanted.dropDuplicates(["class_id"]).select(F.col("class_id").alias("a"), F.col("set").alias("sa")), "a")
-            .join(wanted.dropDuplicates(["class_id"]).select(F.col("class_id").alias("b"), F.col("set").alias("sb")), "b")
-            .select("a", "b", "sa", "sb")
-        )
-        return both.mapInArrow(_verify, "a long, b long")
+        marked = self._joined(pairs, f"{name}-heads", "n", "bits", "head")
+        na, nb = F.col("a_n"), F.col("b_n")
+        most = _common_bits("a_bits", "b_bits") + F.least(na - ones("a_bits"), nb - ones("b_bits"))
+        likely = marked.filter((4 * na <= 5 * nb) & (4 * nb <= 5 * na)).filter(most >= _least_overlap(na, nb))
+        likely = likely.select("a", "b", "a_n", "b_n", "a_head", "b_head")
+        near = scratch.write(likely.mapInArrow(_likely, "a long, b long"), f"{name}-near")
+        whole = self._joined(near, f"{name}-whole", "head", "tail")
+        both = whole.select("a", "b", F.concat("a_head", "a_tail").alias("x"), F.concat("b_head", "b_tail").alias("y"))
+        links = scratch.write(both.mapInArrow(_verify, "a long, b long"), name)
+        for part in ("pairs", "heads", "near", "whole"):
+            scratch.drop(f"{name}-{part}")
+        return links
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
         scratch = self.scratch
         common, rank, salts = self._common()
-        routed = self.sets.filter("set is not null").select("class_id", "n", "set").mapInArrow(
+        routed = self.sets.filter("head is not null").select("class_id", "n", "head", "tail").mapInArrow(
             _routing(common, rank, salts), "h long, salt int, class_id long, n int, pos int, common boolean"
         )
         shared = scratch.write(
             routed.repartition(self.parts, "h", "salt").sortWithinPartitions("h", "salt", "n", "class_id").mapInArrow(
-                _blocks, "h long, chunk long, class_id long, n int, pos int, common boolean, pivot long"
+                _blocks, "h long, chunk long, class_id long, n int, pos int, common boolean, " + ", ".join(f"pivot{k} long" for k in range(ROUNDS))
             ),
             "shared",
         )
-        # Pivots of common shingles meet over all salts; there are at most COMMON of them.
-        over = shared.filter("common").groupBy("h").agg(F.min("pivot").alias("least"))
-        pivots = (
-            shared.filter("not common").select("class_id", "pivot")
-            .union(shared.filter("common").select("h", "class_id").join(F.broadcast(over), "h").select("class_id", "least"))
-            .filter("class_id <> pivot")
-            .select(F.greatest("class_id", "pivot").alias("a"), F.least("class_id", "pivot").alias("b"))
-            .distinct()
-        )
-        links = scratch.write(self._links(pivots), "links-1")
-        labels = scratch.write(components(links, scratch, "first"), "labels-1")
-        more = scratch.write(self._links(self._candidates(shared, labels)), "links-2")
+        links = labels = None
+        for turn in range(ROUNDS):
+            found = self._links(self._pivots(shared, turn, labels), f"links-{turn}")
+            links = found if links is None else links.union(found)
+            labels = scratch.write(near_labels(links), f"labels-{turn}")
+            if turn and not found.limit(1).count():
+                break
+        more = self._links(self._candidates(shared, labels), "links")
         scratch.drop("shared")
-        labels = scratch.write(components(links.union(more), scratch, "second"), "labels-2")
+        labels = scratch.write(components(links.union(more), scratch, "last"), "labels")
         # Documents to classes to components; the least doc_id of each comes back through partial sums.
         rows = self.sets.select("doc_id", "class_id", F.col("n").alias("n_shingles"))
         lows = rows.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("low"))
@@ -388,20 +473,48 @@ class JaccardJoin:
         out = rows.join(named, F.col("class_id") == F.col("own"), "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
+    def _pivots(self, shared: DataFrame, turn: int, labels: DataFrame | None) -> DataFrame:
+        """Pairs of a class and its blocks' pivots of this round that are not connected yet."""
+        pivot = F.col(f"pivot{turn}")
+        # Pivots of common shingles meet over all salts; there are at most COMMON of them.
+        over = shared.filter("common").groupBy("h").agg(F.min_by(pivot, F.xxhash64(pivot, F.lit(turn))).alias("chosen"))
+        pairs = (
+            shared.filter("not common").select("class_id", pivot.alias("chosen"))
+            .union(shared.filter("common").select("h", "class_id").join(F.broadcast(over), "h").select("class_id", "chosen"))
+            .filter("class_id <> chosen")
+            .select(F.greatest("class_id", "chosen").alias("a"), F.least("class_id", "chosen").alias("b"))
+            .distinct()
+        )
+        if labels is None:
+            return pairs
+        side = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
+        named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return named.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
     def _candidates(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs that the trees cannot exclude, among documents not connected so far."""
         scratch = self.scratch
         named = shared.join(labels, F.col("class_id") == F.col("node"), "left").select(
-            "h", "chunk", "class_id", "n", "pos", F.coalesce("label", "class_id").alias("label")
+            "h", "chunk", "class_id", "n", "pos", F.coalesce("label", "class_id").alias("label"), "common"
         )
-        mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("h").alias("mixed"))
-        rows = named.join(mixed, F.col("h") == F.col("mixed"), "left_semi")
-        bits = self.sets.filter("set is not null").select(F.col("class_id").alias("own"), "bits")
-        rows = scratch.write(rows.join(bits.dropDuplicates(["own"]), F.col("class_id") == F.col("own")).drop("own"), "leaves")
+        columns = "h long, chunk long, class_id long, n long, pos long, label long, wide boolean"
+        # Blocks of shingles that few share: only rows that still have a possible partner go on.
+        few = named.filter("not common").drop("common").repartition(self.parts, "h").sortWithinPartitions("h", "n").mapInArrow(_feasible, columns)
+        often = named.filter("common").drop("common")
+        mixed = often.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.min("chunk") < F.max("chunk")).alias("wide"))
+        mixed = mixed.filter("lo <> hi").select(F.col("h").alias("mixed"), "wide")
+        often = often.join(F.broadcast(mixed), F.col("h") == F.col("mixed"))  # at most COMMON rows
+        rows = scratch.write(few.union(often.select("h", "chunk", "class_id", *[F.col(c).cast("long") for c in ("n", "pos")], "label", "wide")), "rows")
+        bits = self._of(rows.select(F.col("class_id").alias("id")), "bits").select(F.col("class_id").alias("own"), "bits")
+        rows = scratch.write(rows.join(bits, F.col("class_id") == F.col("own")).drop("own"), "leaves")
+        scratch.drop("rows")
+        # Blocks of several chunks need the upper nodes; the others are one node that meets itself.
+        narrow = rows.filter("not wide").withColumns({"one": F.col("chunk"), "two": F.col("chunk")})
+        wide = rows.filter("wide").drop("wide")
         lanes = [F.expr(f"bit_or(bits[{k}])").alias(f"b{k}") for k in range(LANES)]
         ones = F.aggregate("bits", F.lit(0).cast("long"), lambda acc, x: acc + F.bit_count(x).cast("long"))
         nodes = scratch.write(
-            rows.groupBy("h", "chunk").agg(
+            wide.groupBy("h", "chunk").agg(
                 F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - ones).alias("over"), F.min("label").alias("lo"), F.max("label").alias("hi"), *lanes
             ),
             "nodes",
@@ -416,9 +529,10 @@ class JaccardJoin:
         )
         pairs = scratch.write(pairs.select("x.h", F.col("x.chunk").alias("one"), F.col("y.chunk").alias("two")), "node-pairs")
         sides = pairs.select("h", "one", "two", F.col("one").alias("chunk")).union(pairs.filter("one <> two").select("h", "one", "two", F.col("two").alias("chunk")))
-        leaves = sides.join(rows, ["h", "chunk"]).select("h", "one", "two", "n", "pos", "class_id", "label", "chunk", "bits")
+        names = ["h", "one", "two", "n", "pos", "class_id", "label", "chunk", "bits"]
+        leaves = sides.join(wide, ["h", "chunk"]).select(names).union(narrow.select(names))
         found = leaves.repartition(self.parts, "h", "one", "two").sortWithinPartitions("h", "one", "two", "n").mapInArrow(_traverse, "a long, b long")
-        return scratch.write(found.distinct(), "candidates")
+        return found.distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
