@@ -12,8 +12,11 @@ item leaks into a document if some stretch of the document is within
    distance to the item into a Hamming distance. Each of REPEATS tables samples a few
    positions of one of several embeddings; a window that agrees with the item in
    any table is a candidate. BITS and REPEATS are chosen so that a window at the
-   edit limit is found with a probability over 0.99 (measured in the tests).
-3. Candidates are verified by the exact edit distance with free ends.
+   edit limit is found with a probability over 0.99 (measured in the tests) for items
+   of up to SCREENED_WORDS words. The walks drift apart in longer ones, so all windows
+   of a longer item are candidates.
+3. Candidates are verified by the exact edit distance with free ends: bit-parallel for
+   the edits and the end, then a band of the plain table for the start.
 
 Items are broadcast in blocks of BLOCK_WORDS words at most; each block is one pass over
 the documents, whose texts are never shuffled.
@@ -43,6 +46,7 @@ SEED_WORDS = 3
 WALKS = 8
 REPEATS = 192
 BITS = 4
+SCREENED_WORDS = 48
 BLOCK_WORDS = 2_000_000
 _WORD = re.compile(r"\w+")
 
@@ -55,26 +59,58 @@ def edit_limit(n: int) -> int:
     return int(MOST_EDITS * n)
 
 
+def least_edits(item: list[int], stretch: list[int]) -> tuple[int, int]:
+    """Least word edits between the item and any part of the stretch, and the first end of such a part."""
+    # Myers' bit vectors: bit i tells how the column's cells i and i + 1 differ. Starting anywhere is free.
+    n = len(item)
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    masks: dict[int, int] = {}
+    for i, word in enumerate(item):
+        masks[word] = masks.get(word, 0) | 1 << i
+    up, down, edits = full, 0, n
+    best = (n, 0)
+    for j, word in enumerate(stretch, 1):
+        same = masks.get(word, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        rises = down | (full & ~(diagonal | up))
+        falls = up & diagonal
+        if rises & last:
+            edits += 1
+        elif falls & last:
+            edits -= 1
+            if edits < best[0]:
+                best = (edits, j)
+        rises = rises << 1 & full
+        falls = falls << 1 & full
+        up = falls | (full & ~((same | down) | rises))
+        down = rises & (same | down)
+    return best
+
+
 def edit_distance_within(item: list[int], stretch: list[int], limit: int) -> tuple[int, int, int] | None:
     """Least word edits between the item and any part of the stretch, with the part's start and end; None above the limit."""
-    # Row by item word; a cell is (edits, start of the part). Starting anywhere is free.
-    row = [(0, j) for j in range(len(stretch) + 1)]
+    edits, end = least_edits(item, stretch)
+    if edits > limit:
+        return None
+    # Row by item word, where a cell can be on a path to the end: (edits, start of the part).
+    n = len(item)
+    never = (n + edits + 1, 0)
+    shift = end - n
+    row = {j: (0, j) for j in range(max(0, shift - edits), min(end, shift + edits) + 1)}
     for i, word in enumerate(item, 1):
-        above, row = row, [(i, 0)]
-        least = i
-        for j, other in enumerate(stretch, 1):
-            best = above[j - 1] if word == other else (above[j - 1][0] + 1, above[j - 1][1])
-            if above[j][0] + 1 < best[0]:
-                best = (above[j][0] + 1, above[j][1])
-            if row[j - 1][0] + 1 < best[0]:
-                best = (row[j - 1][0] + 1, row[j - 1][1])
-            row.append(best)
-            least = min(least, best[0])
-        if least > limit:
-            return None
-    end = min(range(len(row)), key=lambda j: (row[j][0], j))
-    edits, start = row[end]
-    return (edits, start, end) if edits <= limit else None
+        above, row = row, {}
+        for j in range(max(0, shift - edits + i), min(end, shift + edits + i) + 1):
+            if j == 0:
+                row[0] = (i, 0)
+                continue
+            best = above.get(j - 1, never)
+            if word != stretch[j - 1]:
+                best = (best[0] + 1, best[1])
+            for over in (above.get(j, never), row.get(j - 1, never)):
+                if over[0] + 1 < best[0]:
+                    best = (over[0] + 1, over[1])
+            row[j] = best
+    return (edits, row[end][1], end)
 
 
 class Walks:
@@ -130,8 +166,7 @@ class Items:
         for k, (_, own) in enumerate(self.items):
             seeds += [(int(c), k, at) for at, c in enumerate(self.codes(own))]
         self.walks = Walks()
-        self.embedded = [self.walks.places(own) for _, own in self.items]
-        self.member = [frozenset(own.tolist()) for _, own in self.items]
+        self.embedded = [self.walks.places(own) if len(own) <= SCREENED_WORDS else None for _, own in self.items]
         seeds.sort()
         self.seed_codes = np.array([c for c, _, _ in seeds], np.int64)
         self.seed_items = np.array([k for _, k, _ in seeds], np.int64)
@@ -162,6 +197,18 @@ class Items:
         return np.unique(np.stack([self.seed_items[seeds], starts], axis=1), axis=0)
 
 
+def joined(starts: np.ndarray, n: int, limit: int, size: int) -> list[tuple[int, int]]:
+    """The stretches that windows of n words at these ascending starts cover, with ``limit`` words on both sides."""
+    out: list[tuple[int, int]] = []
+    for start in starts.tolist():
+        low, high = max(0, start - limit), min(size, start + n + limit)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
 def search(items: Items, text: str) -> list[tuple[int | None, int, int, int, int]]:
     """(item_id, words of the item, edits, first word, end) of each item that leaks into the text, at its best place."""
     said = words_of(text)
@@ -179,23 +226,23 @@ def search(items: Items, text: str) -> list[tuple[int | None, int, int, int, int
         starts = placed[placed[:, 0] == k, 1]
         near = starts[(starts > -n) & (starts < len(words))]
         # Too few words of the item within reach: no edit script can be short enough.
-        member = items.member[k]
-        near = np.array([s for s in near.tolist() if sum(w in member for w in listed[max(0, s - limit) : s + n + limit]) >= n - limit], np.int64)
+        members = np.concatenate([[0], np.cumsum(np.isin(words, own))])
+        near = near[members[np.minimum(near + n + limit, len(words))] - members[np.maximum(near - limit, 0)] >= n - limit]
         if not len(near):
             continue
-        at = near[:, None] + np.arange(n)[None, :]
-        rows = np.where((at >= 0) & (at < len(words)), words[np.clip(at, 0, len(words) - 1)], 0)
-        rows = np.where(rows == 0, -1, rows)  # a foreign word is no end of text
+        if items.embedded[k] is not None:
+            at = near[:, None] + np.arange(n)[None, :]
+            rows = np.where((at >= 0) & (at < len(words)), words[np.clip(at, 0, len(words) - 1)], 0)
+            rows = np.where(rows == 0, -1, rows)  # a foreign word is no end of text
+            near = near[items.walks.agree(rows, *items.embedded[k])]
         best = None
-        covered = -1
-        for start in near[items.walks.agree(rows, *items.embedded[k])]:
-            low, high = max(0, int(start) - limit), min(len(words), int(start) + n + limit)
-            if best is not None and (best[0] == 0 or high <= covered):
-                continue
-            covered = high
-            found = edit_distance_within(own.tolist(), words[low:high].tolist(), limit)
-            if found and (best is None or found[0] < best[0]):
+        # Windows that overlap are one stretch, so each word is read once.
+        for low, high in joined(near, n, limit, len(words)):
+            found = edit_distance_within(own.tolist(), listed[low:high], limit if best is None else best[0] - 1)
+            if found:
                 best = (found[0], low + found[1], low + found[2])
+            if best and best[0] == 0:
+                break
         if best:
             out.append((item_id, n, *best))
     return out

@@ -151,3 +151,32 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
     assert sorted((r.doc_id, r.item_id, r.first_word, r.end_word) for r in decontaminate.find_leaks(spark, docs, bench).collect()) == [(k, k, 1, 21) for k in range(40)]
+
+
+@pytest.mark.parametrize("n, times", [(8, 60), (30, 60), (48, 60), (49, 30), (120, 30), (250, 20), (500, 12), (1000, 4)])
+def test_leaks_at_the_edit_limit_are_found_at_every_length(n, times):
+    rng = random.Random(n)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    found = 0
+    for _ in range(times):
+        own = [rng.choice(vocabulary) for _ in range(n)]
+        before, after = ([rng.choice(vocabulary) for _ in range(50)] for _ in range(2))
+        said = before + edited(rng, own, decontaminate.edit_limit(n)) + after
+        leaks = decontaminate.search(decontaminate.Items([(7, " ".join(own))]), " ".join(said))
+        found += len(leaks) == 1
+        assert all(leak[2] == plain_edits(own, said) for leak in leaks) or n <= decontaminate.SCREENED_WORDS
+    assert found == times if n > decontaminate.SCREENED_WORDS else found >= 0.99 * times
+
+
+def test_exact_distance_equals_the_plain_table():
+    rng = random.Random(6)
+    for _ in range(3000):
+        item = [rng.randint(1, 4) for _ in range(rng.randint(1, 12))]
+        stretch = [rng.randint(0, 4) for _ in range(rng.randint(0, 20))]
+        limit = rng.randint(0, len(item))
+        found, least = decontaminate.edit_distance_within(item, stretch, limit), plain_edits(item, stretch)
+        if least > limit:
+            assert found is None
+        else:
+            edits, start, end = found
+            assert edits == least == plain_edits(item, stretch[start:end])
