@@ -1,28 +1,30 @@
 """Benchmark decontamination: CGK embedding, bit sampling over item-sized windows, exact edit verification.
 
-Texts and items are compared as sequences of lower-cased words without punctuation. An
-item leaks into a document if some stretch of the document is within
-``floor(0.2 * words of the item)`` word edits of it.
+Texts and items are compared as sequences of lower-cased words without punctuation; in
+scripts that put no blanks between words each character is a word. An item leaks into a
+document if some stretch of the document is within ``floor(0.2 * words of the item)``
+word edits of it.
 
 1. Windows. With at most k edits, the n - k words that stay fall into at most k + 1
-   stretches, so one stretch has ceil((n - k) / (k + 1)) words or more, here three.
-   Every three words in a row of a document that an item also has place an item-sized
-   window; no match can be missed, and nothing else is embedded.
+   stretches, so one stretch has ceil((n - k) / (k + 1)) words or more: three, but two
+   for an item of five words. Every three (two) words in a row of a document that an
+   item also has place an item-sized window; no match can be missed, and nothing else
+   is embedded.
 2. The CGK random walk reads a window under a shared random source and turns its edit
    distance to the item into a Hamming distance. Each of REPEATS tables samples a few
    positions of one of several embeddings; a window that agrees with the item in
    any table is a candidate. BITS and REPEATS are chosen so that a window at the
    edit limit is found with a probability over 0.99 (measured in the tests) for items
-   of up to SCREENED_WORDS words. The walks drift apart in longer ones, so all windows
-   of a longer item are candidates.
+   of LEAST_SCREENED to SCREENED_WORDS words. The walks drift apart in longer ones and
+   shorter ones have few windows, so all windows of those are candidates.
 3. Candidates are verified by the exact edit distance with free ends: bit-parallel for
    the edits and the end, then a band of the plain table for the start.
 
 Items are broadcast in blocks of BLOCK_WORDS words at most; each block is one pass over
 the documents, whose texts are never shuffled.
 
-Defined results: null or empty texts and items match nothing; items of fewer than
-MIN_WORDS words are not searched, since a few common words are no evidence; a null
+Defined results: null or empty texts and items match nothing; items of one or two
+words are not searched, since a common pair is no evidence; a null
 doc_id or item_id is carried; repeated rows match each; empty tables give an empty
 result; other columns are ignored.
 """
@@ -41,18 +43,27 @@ from pyspark.sql import functions as F
 from fibrelark.llm.common import Scratch, batches, text_column
 
 MOST_EDITS = 0.2
-MIN_WORDS = 8
+MIN_WORDS = 3
 SEED_WORDS = 3
+PAIR_SEEDED = 5  # words of the items that a match need not share three words in a row with
 WALKS = 8
 REPEATS = 192
 BITS = 4
+LEAST_SCREENED = 8
 SCREENED_WORDS = 48
 BLOCK_WORDS = 2_000_000
+# Thai and Lao, Myanmar, Khmer, New Tai Lue, Tai Tham, kana, Han.
+_UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1980-\u19df\u1a20-\u1aaf\u3005-\u3007\u3021-\u3029\u3031-\u303c\u3040-\u30ff\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U0003ffff"
+)
 _WORD = re.compile(r"\w+")
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD_OR_CHARACTER = re.compile(f"[^\\W{_UNSPACED}]+|(?=\\w)[{_UNSPACED}]")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return (_WORD_OR_CHARACTER if _ANY_UNSPACED.search(text) else _WORD).findall(text.lower())
 
 
 def edit_limit(n: int) -> int:
@@ -156,45 +167,51 @@ class Items:
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.ids: dict[str, int] = {}
         self.items: list[tuple[int | None, np.ndarray]] = []
-        seeds: list[tuple[int, int, int]] = []
         for item_id, text in items:
             words = words_of(text)
             if len(words) < MIN_WORDS:
                 continue
             own = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.int64)
             self.items.append((item_id, own))
-        for k, (_, own) in enumerate(self.items):
-            seeds += [(int(c), k, at) for at, c in enumerate(self.codes(own))]
         self.walks = Walks()
-        self.embedded = [self.walks.places(own) if len(own) <= SCREENED_WORDS else None for _, own in self.items]
-        seeds.sort()
-        self.seed_codes = np.array([c for c, _, _ in seeds], np.int64)
-        self.seed_items = np.array([k for _, k, _ in seeds], np.int64)
-        self.seed_places = np.array([at for _, _, at in seeds], np.int64)
-
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        """A number for each three words in a row; -1 if one of them is in no item."""
-        if len(words) < SEED_WORDS:
-            return np.zeros(0, np.int64)
-        a, b, c = words[:-2], words[1:-1], words[2:]
-        width = np.int64(len(self.ids) + 1)
-        return np.where((a > 0) & (b > 0) & (c > 0), (a * width + b) * width + c, -1)
+        self.embedded = [self.walks.places(own) if LEAST_SCREENED <= len(own) <= SCREENED_WORDS else None for _, own in self.items]
+        self.seeds = [self._seeds(width) for width in (SEED_WORDS, SEED_WORDS - 1)]
+
+    def _seeds(self, width: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the items that so many words in a row seed: width, codes in order, and the item and place of each."""
+        seeds = [(int(c), k, at) for k, (_, own) in enumerate(self.items) if (len(own) == PAIR_SEEDED) == (width < SEED_WORDS) for at, c in enumerate(self.codes(own, width))]
+        codes, items, places = np.array(sorted(seeds), np.int64).reshape(-1, 3).T
+        return width, codes, items, places
+
+    def codes(self, words: np.ndarray, width: int) -> np.ndarray:
+        """A number for each so many words in a row; -1 if one of them is in no item."""
+        n = max(0, len(words) - width + 1)
+        out, known = np.zeros(n, np.int64), np.ones(n, bool)
+        for k in range(width):
+            part = words[k : k + n]
+            out = out * np.int64(len(self.ids) + 1) + part
+            known &= part > 0
+        return np.where(known, out, -1)
 
     def windows(self, words: np.ndarray) -> np.ndarray:
         """Distinct (item, start) of item-sized windows that a seed places in the document."""
-        codes = self.codes(words)
+        found = np.concatenate([self._placed(words, *seeds) for seeds in self.seeds])
+        return np.unique(found, axis=0) if len(found) else found
+
+    def _placed(self, words: np.ndarray, width: int, seed_codes: np.ndarray, seed_items: np.ndarray, seed_places: np.ndarray) -> np.ndarray:
+        none = np.zeros((0, 2), np.int64)
+        if not len(seed_codes):
+            return none
+        codes = self.codes(words, width)
         places = np.flatnonzero(codes >= 0)
-        if not len(places) or not len(self.seed_codes):
-            return np.zeros((0, 2), np.int64)
-        first = np.searchsorted(self.seed_codes, codes[places], "left")
-        many = np.searchsorted(self.seed_codes, codes[places], "right") - first
+        first = np.searchsorted(seed_codes, codes[places], "left")
+        many = np.searchsorted(seed_codes, codes[places], "right") - first
         places, first, many = places[many > 0], first[many > 0], many[many > 0]
         if not len(places):
-            return np.zeros((0, 2), np.int64)
+            return none
         offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         seeds = np.repeat(first, many) + offset
-        starts = np.repeat(places, many) - self.seed_places[seeds]
-        return np.unique(np.stack([self.seed_items[seeds], starts], axis=1), axis=0)
+        return np.stack([seed_items[seeds], np.repeat(places, many) - seed_places[seeds]], axis=1)
 
 
 def joined(starts: np.ndarray, n: int, limit: int, size: int) -> list[tuple[int, int]]:

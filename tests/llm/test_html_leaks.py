@@ -180,3 +180,28 @@ def test_exact_distance_equals_the_plain_table():
         else:
             edits, start, end = found
             assert edits == least == plain_edits(item, stretch[start:end])
+
+
+def test_short_items_match_a_search_of_every_place():
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(12)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (3, 4, 5, 6, 7) for _ in range(6)]
+    searched = decontaminate.Items([(k, " ".join(x)) for k, x in enumerate(items)])
+    some = 0
+    for _ in range(150):
+        own = rng.choice(items)
+        said = [rng.choice(vocabulary) for _ in range(rng.randrange(9))] + edited(rng, own, rng.randrange(3)) + [rng.choice(vocabulary) for _ in range(rng.randrange(9))]
+        got = {leak[0]: leak[2] for leak in decontaminate.search(searched, " ".join(said))}
+        want = {k: plain_edits(x, said) for k, x in enumerate(items)}
+        assert got == {k: edits for k, edits in want.items() if edits <= decontaminate.edit_limit(len(items[k]))}
+        some += bool(got)
+    assert some > 50
+
+
+def test_unspaced_scripts_are_cut_into_characters():
+    assert decontaminate.words_of("Ab1 東京tower,カナ") == ["ab1", "東", "京", "tower", "カ", "ナ"]
+    item = "東京は日本の首都であり世界最大の都市の一つです"
+    changed = item.replace("首都", "中心")
+    searched = decontaminate.Items([(1, item)])
+    assert [leak[:3] for leak in decontaminate.search(searched, "これは前の文。" + changed + "。後の文")] == [(1, len(item), 2)]
+    assert not decontaminate.search(searched, "これは前の文。後の文")
