@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fibrelark.llm.common import Scratch, batches, text_column
+from fibrelark.llm.common import batches, text_column
 
 MOST_EDITS = 0.2
 MIN_WORDS = 3
@@ -276,13 +276,16 @@ def _blocks_of(spark: SparkSession, benchmark: DataFrame) -> list[DataFrame]:
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
+def _rows_of(block: DataFrame) -> list[tuple[int | None, str]]:
+    return sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, row_id: bool = False) -> DataFrame:
     """Pairs of a document and an item that leaks into it: doc_id, item_id, item_words, edits, first_word, end_word."""
     docs = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = []
     for block in _blocks_of(spark, benchmark):
-        rows = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        shared = spark.sparkContext.broadcast(rows)
+        shared = spark.sparkContext.broadcast(_rows_of(block))
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             items = Items(shared.value)
@@ -299,7 +302,14 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, row_i
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no item leaks into, with all their columns. Rows are told apart by doc_id."""
-    leaks = Scratch(spark, "leaks").write(find_leaks(spark, docs, benchmark).select(F.col("doc_id").alias("__leaks")).distinct(), "ids")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leaks")), "left_anti")
+    """The documents that no item leaks into, with all their columns. Each row is decided by its own text."""
+    for block in _blocks_of(spark, benchmark):
+        shared = spark.sparkContext.broadcast(_rows_of(block))
+
+        def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            items = Items(shared.value)
+            for batch in batches(parts):
+                yield batch.filter(pa.array([not search(items, text) for text in text_column(batch, "text")], pa.bool_()))
 
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

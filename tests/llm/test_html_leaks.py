@@ -205,3 +205,13 @@ def test_unspaced_scripts_are_cut_into_characters():
     searched = decontaminate.Items([(1, item)])
     assert [leak[:3] for leak in decontaminate.search(searched, "これは前の文。" + changed + "。後の文")] == [(1, len(item), 2)]
     assert not decontaminate.search(searched, "これは前の文。後の文")
+
+
+def test_each_row_is_decided_by_its_own_text(spark):
+    item = " ".join(f"i{j}" for j in range(20))
+    rows = [(None, item, 0), (None, "clean one", 1), (None, None, 2), (7, "clean two", 3), (7, "so " + item, 4), (7, "clean two", 5), (8, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.decontaminated(spark, docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(r.other for r in kept.collect()) == [1, 2, 3, 5, 6]
