@@ -42,7 +42,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9]+")
 _URL = re.compile(r"[A-Za-z0-9][^\s<>\"'|\\^`{}]*")
-_SECRET = re.compile(r"[\"']?[ \t]{0,3}(?:=|:|:=)[ \t]{0,3}[\"']?([A-Za-z0-9+/_.-]{16,200})")
+_SECRET = re.compile(r"[\"']?[ \t]{0,3}(?:=|:|:=)[ \t]{0,3}[\"']?([A-Za-z0-9+/_.-]{16,})")
 _ACCOUNT = re.compile(r"[ \t]{0,3}(?:no\.?|number|nr\.?|#|:|=)?[ \t]{0,3}([A-Z]{0,2}[0-9][0-9A-Z -]{6,40}[0-9A-Z])")
 _TRAILING = ".,;:!?)]}*$%&#"
 

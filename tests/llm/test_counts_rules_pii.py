@@ -180,3 +180,9 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     taken = {r.doc_id: r.copies for r in mixing.mixed_documents(spark, docs.cache()).collect()}
     assert taken == {r.doc_id: r.copies for r in out if r.copies}
     assert mixing.mix(spark, docs.limit(0)).count() == 0
+
+
+def test_long_secrets_are_taken_whole():
+    secret = "eyJ0" + "aB3_-x.Y9" * 120
+    assert pii.redact_text(f"api_key = {secret} end") == "api_key = <SECRET> end"
+    assert ("secret", 10, 10 + len(secret)) in pii.find_spans(f"api_key = {secret} end")[1]
