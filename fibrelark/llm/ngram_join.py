@@ -132,9 +132,10 @@ def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head, tail = _pack(hashes) if first else (None, None)
             heads.append(head)
             tails.append(tail)
+        ids = [k for k in ("doc_id", "row_id") if k in batch.schema.names]
+        columns = [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())],
-            names=["doc_id", "class_id", "n", "bits", "head", "tail"],
+            [*(batch.column(batch.schema.get_field_index(k)).cast(pa.int64()) for k in ids), *columns], names=[*ids, "class_id", "n", "bits", "head", "tail"]
         )
 
 
@@ -387,12 +388,14 @@ def _traverse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class JaccardJoin:
-    """One run of the join over a table with doc_id and text."""
+    """One run of the join over a table with doc_id and text; ``row`` names a column that tells rows apart, for surplus()."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame) -> None:
+    def __init__(self, spark: SparkSession, docs: DataFrame, row: str | None = None) -> None:
         self.spark = spark
         self.scratch = Scratch(spark, "ngram-join")
-        self.sets = self.scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets, _SETS), "sets")
+        keys = [F.col("doc_id").cast("long").alias("doc_id")] + ([F.col(row).alias("row_id")] if row else [])
+        schema = _SETS.replace("doc_id long", "doc_id long, row_id long") if row else _SETS
+        self.sets = self.scratch.write(docs.select(*keys, "text").mapInArrow(_sets, schema), "sets")
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -440,8 +443,8 @@ class JaccardJoin:
             scratch.drop(f"{name}-{part}")
         return links
 
-    def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
+    def _labels(self) -> DataFrame:
+        """node and label of each class that links with another."""
         scratch = self.scratch
         common, rank, salts = self._common()
         routed = self.sets.filter("head is not null").select("class_id", "n", "head", "tail").mapInArrow(
@@ -462,17 +465,30 @@ class JaccardJoin:
                 break
         more = self._links(self._candidates(shared, labels), "links")
         scratch.drop("shared")
-        labels = scratch.write(components(links.union(more), scratch, "last"), "labels")
+        return scratch.write(components(links.union(more), scratch, "last"), "labels")
+
+    def _named(self, rows: DataFrame, low: Column, name: str) -> DataFrame:
+        """own, a class, and the least ``low`` of the rows of its component."""
+        lows = rows.filter("class_id is not null").groupBy("class_id").agg(F.min(low).alias("low"))
+        classes = lows.join(self._labels(), F.col("class_id") == F.col("node"), "left").select("class_id", "low", F.coalesce("label", "class_id").alias("label"))
+        classes = self.scratch.write(classes, "classes")
+        least = classes.groupBy("label").agg(F.min("low").alias(name))
+        return classes.join(least, "label").select(F.col("class_id").alias("own"), name)
+
+    def run(self) -> DataFrame:
+        """doc_id, n_shingles, component_id for every row."""
         # Documents to classes to components; the least doc_id of each comes back through partial sums.
         rows = self.sets.select("doc_id", "class_id", F.col("n").alias("n_shingles"))
-        lows = rows.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("low"))
-        classes = lows.join(labels, F.col("class_id") == F.col("node"), "left").select("class_id", "low", F.coalesce("label", "class_id").alias("label"))
-        classes = scratch.write(classes, "classes")
-        least = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-        named = classes.join(least, "label").select(F.col("class_id").alias("own"), "component_id")
+        named = self._named(rows, F.col("doc_id"), "component_id")
         out = rows.join(named, F.col("class_id") == F.col("own"), "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
+    def surplus(self) -> DataFrame:
+        """row_id of every row but the first of its component: the one with the least doc_id, then the least row_id; null ids come last."""
+        rows = self.sets.select("row_id", "doc_id", "class_id")
+        named = self._named(rows, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id"), "first")
+        return rows.join(named, F.col("class_id") == F.col("own")).filter("row_id <> first.row_id").select("row_id")
+
     def _pivots(self, shared: DataFrame, turn: int, labels: DataFrame | None) -> DataFrame:
         """Pairs of a class and its blocks' pivots of this round that are not connected yet."""
         pivot = F.col(f"pivot{turn}")
@@ -541,7 +557,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id; all columns. Documents without words stay."""
-    joined = near_duplicates(spark, docs)
-    dropped = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each component, the first with the least doc_id; all columns. Documents without words stay.
+
+    Rows are numbered in a written table, so that repeated and null ids are rows of
+    their own and a number means the same row in every pass.
+    """
+    numbered = Scratch(spark, "numbered").write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    surplus = JaccardJoin(spark, numbered, "__row").surplus()
+    return numbered.join(surplus.withColumnRenamed("row_id", "__gone"), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

@@ -86,3 +86,15 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(0, 60).selectExpr("id * 7 % 61 AS a", "(id * 7 + 7) % 61 AS b")
     out = {r.node: r.label for r in components(links, Scratch(spark, "chain")).collect()}
     assert out == dict.fromkeys(range(61), 0)
+
+
+def test_one_row_of_each_component_stays(spark):
+    same, near = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(58)) + " x y"
+    rows = [(7, same, 0), (7, same, 1), (7, same, 2), (None, "a b c d e f", 3), (None, "a b c d e f", 4), (2, near, 5), (7, "the only one of its kind", 6)]
+    rows += [(None, same, 7), (None, "", 8), (None, None, 9), (5, "p q r s t u", 10), (None, "p q r s t u", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_id int")
+    out = ngram_join.deduplicated(spark, docs.repartition(3))
+    assert out.columns == docs.columns
+    kept = sorted(r.row_id for r in out.collect())
+    assert [k for k in kept if k not in (3, 4)] == [5, 6, 8, 9, 10] and len(kept) == 6
+    assert ngram_join.deduplicated(spark, docs.limit(0)).count() == 0
