@@ -96,6 +96,21 @@ def _iban_holds(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _cards_within(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Parts of a run from one group of digits to another that have a card's number of digits and check digit."""
+    groups = [(m.start(), m.end()) for m in _RUN.finditer(text, start, end)]
+    out = []
+    for k, (first, _) in enumerate(groups):
+        digits = ""
+        for low, high in groups[k : k + 19]:
+            if len(digits) + high - low > 19:
+                break
+            digits += text[low:high]
+            if len(digits) >= 14 and luhn(digits):
+                out.append((first, high))
+    return out
+
+
 def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and further spans of the method; (kind, start, end), each in page order."""
     base: list[tuple[str, int, int]] = []
@@ -113,11 +128,9 @@ def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 14 <= len(digits) <= 19 and luhn(digits):
                     base.append(("card", at, m.end()))
-                elif len(digits) > 16:
+                elif len(digits) > 14:
                     # The run as a whole fails: a card may stand beside other numbers in it.
-                    for run in _RUN.finditer(text, at, m.end()):
-                        if 15 <= len(run[0]) <= 16 and luhn(run[0]):
-                            more.append(("card", run.start(), run.end()))
+                    more += [("card", *span) for span in _cards_within(text, at, m.end())]
         elif anchor == "at":
             if at >= ends["email"] and (m := _HOST.match(text, at + 1)):
                 start = at

@@ -186,3 +186,13 @@ def test_long_secrets_are_taken_whole():
     secret = "eyJ0" + "aB3_-x.Y9" * 120
     assert pii.redact_text(f"api_key = {secret} end") == "api_key = <SECRET> end"
     assert ("secret", 10, 10 + len(secret)) in pii.find_spans(f"api_key = {secret} end")[1]
+
+
+@pytest.mark.parametrize("beside", ["{} 12/27", "99 {}", "7-{} 123", "{} 4000056655665556", "1 2 3 {} 4 5 6 7 8 9 10 11 12"])
+def test_grouped_cards_beside_other_digits(beside):
+    card = "4111 1111 1111 1111"
+    text = "pay " + beside.format(card) + " now"
+    base, more = pii.find_spans(text)
+    at = text.index(card)
+    assert base == plain_spans(text) and ("card", at, at + len(card)) in base + more
+    assert "1111" not in pii.redact_text(text)
