@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -72,6 +73,21 @@ def test_token_counts_equal_the_library(spark):
         assert (row.n_tokens, row.n_bytes, row.over_limit) == (n, len(text.encode()), n > 100), text[:40]
 
 
+def test_mixed_characters_count_as_in_the_library(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 40_000)  # so that the worker forgets
+    monkeypatch.setattr(token_counts, "SENT", 40)
+    monkeypatch.setattr(token_counts, "STRETCH", 200)
+    counter = token_counts.PieceCounter(path, token_counts.proven_whole(path))
+    parts = ["a", "S", "'", "'s", "'LL", "\u00e9", "e\u0301", "\u0130", "\u0131", "\u00df", "\u1e9e", "\u017f", "\u00aa", "\u00b5", "\u00d7", "1", "\u0968", "\u00bd", " ", "\t", "\n"]
+    parts += ["\x0b", "\x1c", "\x85", "\u00a0", "\u2028", "\u200b", "\u03a3", "\u03c2", "<|", "<|endoftext|>", "<|EndOfText|>", "!", "-", "\x00", "\u4e2d", "\U0001f600", "\ufb01", "\u023a", "\u0181", "\u212a", "the", "Hello "]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)] + ["x" * 5000 + " " + "yz" * 300]
+    assert counter.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter.count([]) == []
+
+
 def test_proven_strings_are_single_tokens():
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = token_counts.proven_whole(path)
