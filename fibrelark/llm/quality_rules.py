@@ -1,18 +1,18 @@
 """Quality rules: one table of thresholds, compiled into one projection of built-in functions.
 
 No user function runs: words, lines, repeated word windows and stop words are
-counted with array functions inside a single select over the scan, so the plan has
-no exchange and no Python.
+counted with array functions in projections over the scan, and the table of
+thresholds becomes one projection over the counts, so the plan has no exchange and
+no Python.
 
 Defined results: a null or blank text has no words, so it fails the base rule and
-is not kept; a null doc_id passes through; repeated rows and ties are judged each
-by itself; an empty table gives an empty result; further columns are ignored by
-``measure`` and kept by ``filter_documents``.
+is not kept; very long texts are measured whole; a null doc_id passes through;
+repeated rows and ties are judged each by itself; an empty table gives an empty
+result; further columns are ignored by ``measure`` and kept by ``filter_documents``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,8 @@ STOP_WORDS = (
 ).split()
 
 WINDOW = 8
+SYMBOLS = "#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop")
 
 
 @dataclass(frozen=True)
@@ -54,91 +56,78 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluates ``value`` once and uses it in ``body`` as often as needed."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _words(text: Column) -> Column:
     trimmed = F.trim(text, F.lit(WHITE))
     return F.when(F.length(trimmed) > 0, F.split(trimmed, WHITE_CLASS)).otherwise(F.array().cast("array<string>"))
 
 
-def _covered(windows: Column) -> Column:
-    """Words that lie in a window found twice or more; ``windows`` has the hash at each start."""
-
-    def from_sorted(found: Column) -> Column:
-        starts = F.sort_array(
-            F.filter(
-                F.transform(
-                    found,
-                    lambda entry, k: F.when(
-                        ((k > 0) & (F.get(found, k - 1)["h"] == entry["h"]))
-                        | (F.coalesce(F.get(found, k + 1)["h"] == entry["h"], F.lit(False))),
-                        entry["i"],
-                    ),
-                ),
-                lambda i: i.isNotNull(),
-            )
-        )
-        # A fold over the sorted starts: each adds what lies beyond the end so far.
-        return F.aggregate(
-            starts,
-            F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-            lambda acc, i: F.struct(
-                (acc["n"] + i + F.lit(WINDOW) - F.greatest(acc["end"], i)).alias("n"),
-                (i + F.lit(WINDOW)).alias("end"),
-            ),
-            lambda acc: acc["n"],
-        )
+def _joined(hashes: str, reach: int) -> Column:
+    """From hashes of stretches those of stretches longer by ``reach`` words, at the same starts."""
+    return F.transform(F.col(hashes), lambda h, i: F.xxhash64(h, F.get(F.col(hashes), i + reach)))
 
-    return F.when(
-        F.size(F.array_distinct(windows)) < F.size(windows),
-        let(
-            F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-            from_sorted,
+
+def _repeated_starts() -> Column:
+    """Starts of windows that are there twice or more, in order; __sorted has (hash, start) by hash."""
+    rows = F.col("__sorted")
+    same = F.transform(
+        rows,
+        lambda entry, k: F.when(
+            ((k > 0) & (F.get(rows, k - 1)["h"] == entry["h"])) | F.coalesce(F.get(rows, k + 1)["h"] == entry["h"], F.lit(False)), entry["i"]
         ),
-    ).otherwise(F.lit(0))
-
-
-def _repeat_words(words: Column) -> Column:
-    return let(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda hashes: F.when(
-            F.size(hashes) > WINDOW,
-            let(
-                F.transform(
-                    F.sequence(F.lit(1), F.size(hashes) - F.lit(WINDOW - 1)),
-                    lambda i: F.xxhash64(F.slice(hashes, i, F.lit(WINDOW))),
-                ),
-                _covered,
-            ),
-        ).otherwise(F.lit(0)),
     )
+    return F.sort_array(F.filter(same, lambda i: i.isNotNull()))
 
 
-def _measures(text: Column) -> Column:
-    """A struct with all counts of a text."""
+def _covered() -> Column:
+    """Words below those windows: a fold over the starts, each adds what lies beyond the end so far."""
+    return F.aggregate(
+        "__starts",
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+        lambda acc, i: F.struct((acc["n"] + i + F.lit(WINDOW) - F.greatest(acc["end"], i)).alias("n"), (i + F.lit(WINDOW)).alias("end")),
+        lambda acc: acc["n"],
+    )
 
-    def of_words(words: Column) -> Column:
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop"),
-            _repeat_words(words).cast("long").alias("n_repeat_words"),
-        )
 
-    def of_lines(lines: Column) -> Column:
-        return F.struct(
-            F.size(lines).cast("long").alias("n_lines"),
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        )
+def _counted(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` and a struct __m of all counts. Each select names what the next uses more than once, so nothing is evaluated twice.
 
-    filled = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(WHITE))) > 0)
-    return F.struct(
-        let(_words(text), of_words).alias("w"),
-        let(filled, of_lines).alias("l"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+    Hashes of eight words come by doubling: two, four and eight words from halves.
+    """
+    text = F.col("__text")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(WHITE))) > 0)
+    count = lambda column, name: column.cast("long").alias(name)
+    names = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_stop"]
+    return (
+        # The text comes under a name of its own, so that a column called like a count cannot clash.
+        docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+        .select(*keep, "__text", _words(text).alias("__words"), lines.alias("__lines"))
+        .select(
+            *keep,
+            count(F.size("__words"), "n_words"),
+            count(F.length(F.translate(text, WHITE, "")), "word_chars"),
+            count(F.length(text) - F.length(F.translate(text, SYMBOLS, "")), "n_symbols"),
+            count(F.size("__lines") - F.size(F.array_distinct("__lines")), "n_dup_lines"),
+            count(F.size("__lines"), "n_lines"),
+            count(F.size(F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))), "n_stop"),
+            F.when(F.size("__words") > WINDOW, F.transform("__words", lambda w: F.xxhash64(w))).alias("__one"),
+        )
+        .select(*names, _joined("__one", 1).alias("__two"))
+        .select(*names, _joined("__two", 2).alias("__four"))
+        .select(*names, F.slice(_joined("__four", 4), F.lit(1), F.greatest(F.lit(0), F.size("__four") - F.lit(WINDOW - 1))).alias("__windows"))
+        .select(
+            *names,
+            F.when(
+                F.size(F.array_distinct("__windows")) < F.size("__windows"),
+                F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            ).alias("__sorted"),
+        )
+        .select(*names, _repeated_starts().alias("__starts"))
+        # A row number in the struct bars the optimizer from moving a filter on the counts
+        # below them, where it would repeat the measurement for each use of a count.
+        .select(
+            *keep,
+            F.struct(*names[len(keep) :], count(F.coalesce(_covered(), F.lit(0)), "n_repeat_words"), F.monotonically_increasing_id().alias("row")).alias("__m"),
+        )
     )
 
 
@@ -158,19 +147,8 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts and verdict of every document: ``keep`` columns, the counts, base_failed, kept."""
-    # The text comes under a name of its own, so that a column called like a count cannot clash.
-    measured = docs.select(*keep, _measures(F.coalesce(F.col("text"), F.lit(""))).alias("__m"))
-    counts = measured.select(
-        *keep,
-        F.col("__m.w.n_words").alias("n_words"),
-        F.col("__m.w.word_chars").alias("word_chars"),
-        F.col("__m.n_symbols").alias("n_symbols"),
-        F.col("__m.l.n_dup_lines").alias("n_dup_lines"),
-        F.col("__m.w.n_repeat_words").alias("n_repeat_words"),
-        F.col("__m.l.n_lines").alias("n_lines"),
-        F.col("__m.w.n_stop").alias("n_stop"),
-    )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    counts = _counted(docs, keep).select(*keep, *[F.col(f"__m.{name}").alias(name) for name in COUNTS])
     return counts.withColumn("base_failed", failed).withColumn("kept", ~failed & compile_rules(rules))
 
 
