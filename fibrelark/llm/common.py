@@ -20,6 +20,7 @@ WHITE_CLASS = "[\\x20\\x09-\\x0D]+"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 MASK64 = (1 << 64) - 1
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,9 +81,16 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Writes and reads again; ``batch_rows`` bounds the Arrow batches of this plan, where rows are wide."""
         path = self.at(name)
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(BATCH_ROWS)
+        if batch_rows:
+            self.spark.conf.set(BATCH_ROWS, str(min(batch_rows, int(before) if int(before) > 0 else batch_rows)))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_ROWS, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
