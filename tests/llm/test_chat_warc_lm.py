@@ -93,6 +93,19 @@ def test_archives_round_trip(spark, compression):
         assert (r.record_type, r.refers_to) == (("response", None) if response == page_id else ("revisit", response))
 
 
+def test_pointers_jump_over_segments_of_a_file(spark, monkeypatch):
+    """Version lines with false lengths inside payloads, a file of many segments: rounds are run and only true records come back."""
+    false = "".join(f"WARC/1.1\r\nContent-Length: {n}\r\n\r\n" for n in range(0, 4000, 7))
+    rows = [(k, "u", f"{k} " + (false if k % 10 == 3 else "z" * 900)) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    written = []
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, *more: written.append(name) or write(self, df, name, *more))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(spark, pages).collect()}
+    assert got == {k: (len(h), hashlib.sha1(h.encode()).hexdigest()) for k, _, h in rows}
+    assert "pointers-2" in written and "entries-3" in written
+
+
 def test_a_damaged_chain_ends(spark):
     _, pages = pages_of(spark)
     path = Scratch(spark, "damage").at("archives")
