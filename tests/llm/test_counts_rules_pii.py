@@ -10,9 +10,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fibrelark.llm import mixing, pii, quality_rules, token_counts
+from fibrelark.llm.common import Scratch
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD_TEXTS = [
@@ -168,7 +170,49 @@ def test_fit_stays_within_the_counts_and_near_the_budget(counts, part):
         reach |= {s + int(length) * k for s in reach for k in range(n + 1) if s + length * k <= budget + 400}
         if len(reach) > 40_000:
             return
-    assert abs(int((take * lengths).sum()) - budget) <= int(lengths.max())
+    assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in reach)
+
+
+def test_fit_beyond_the_programme(monkeypatch):
+    monkeypatch.setattr(mixing, "FITTED", 500)
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = np.unique(rng.integers(1, 200, 30))
+        counts = rng.integers(1, 500, len(lengths))
+        total = int((lengths * counts).sum())
+        budget = int(rng.integers(0, total + 1))
+        take = mixing.fit(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == budget
+    one = mixing.fit(np.array([10**6]), np.array([7]), 3_400_000)
+    assert one.tolist() == [3]
+
+
+def test_targets_of_many_sources_equal_the_plain_version(spark):
+    rng = np.random.default_rng(4)
+    sizes = {f"s{k}\u00e9" if k % 5 else f"S{k}": int(10 ** rng.uniform(0, 6)) for k in range(60)} | {None: 500, "": 0}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    got = {r.source: (r.target, r.passes) for r in mixing.source_targets(Scratch(spark, "targets"), table).collect()}
+    plain = mixing.targets(sizes)
+    assert got.keys() == plain.keys()
+    for source, target in plain.items():
+        assert got[source][0] == pytest.approx(target, rel=1e-12)
+        assert got[source][1] == (int(got[source][0] // sizes[source]) if sizes[source] else 0)
+    assert mixing.source_targets(Scratch(spark, "targets"), table.limit(0)).count() == 0
+
+
+def test_mix_of_rows_without_ids_and_clashing_columns(spark):
+    rows = [(None, "a b c " * (k % 5), "x", 1, 2, 3) for k in range(40)] + [(7, "a b", "y", 1, 2, 3)] * 30 + [(8, None, None, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target int, copies int")
+    out = mixing.mix(spark, docs)
+    assert out.count() == 71
+    sums = {r.source_size: (r.taken, r.target) for r in out.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()}
+    assert all(abs(taken - target) <= 3 for taken, target in sums.values())
+    mixed = mixing.mixed_documents(spark, docs)
+    assert mixed.columns == [*docs.columns, "mix_copies"]
+    counted = collections.Counter()
+    for r in mixed.collect():
+        counted[r.source] += r.mix_copies * len((r.text or "").split())
+    assert sorted(counted.values()) == sorted(taken for taken, _ in sums.values() if taken)
 
 
 def test_targets_are_capped_and_reshared():
