@@ -8,8 +8,8 @@ as a leftmost scan without overlaps would find them; ``url``, ``secret`` and
 ``account`` are further kinds, and a ``card`` is also found where it stands
 beside other digits in a run that fails as a whole.
 
-Defined results: null text counts as empty and has no spans; doc_id may be null or
-repeat, each row stands for itself; an empty table gives an empty result; other
+Defined results: null text counts as empty and has no spans; very long texts are
+scanned whole; doc_id may be null or repeat, each row stands for itself; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -43,7 +43,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9]+")
 _URL = re.compile(r"[A-Za-z0-9][^\s<>\"'|\\^`{}]*")
 _SECRET = re.compile(r"[\"']?[ \t]{0,3}(?:=|:|:=)[ \t]{0,3}[\"']?([A-Za-z0-9+/_.-]{16,})")
-_ACCOUNT = re.compile(r"[ \t]{0,3}(?:no\.?|number|nr\.?|#|:|=)?[ \t]{0,3}([A-Z]{0,2}[0-9][0-9A-Z -]{6,40}[0-9A-Z])")
+_ACCOUNT = re.compile(r"[ \t]{0,3}(?:no\.?|number|nr\.?|#|:|=)?[ \t]{0,3}([A-Z]{0,2}[0-9][0-9A-Z -]{6,}[0-9A-Z])")
+_GROUP = re.compile(r"[0-9A-Z]+")
 _TRAILING = ".,;:!?)]}*$%&#"
 
 
@@ -54,12 +55,10 @@ def _automaton() -> ahocorasick.Automaton:
     for digit in _DIGITS:
         found.add_word(digit, ("digit", 1))
     for scheme in ("http://", "https://", "ftp://"):
-        for spelt in {scheme, scheme.upper(), scheme.capitalize()}:
-            found.add_word(spelt, ("scheme", len(scheme)))
+        found.add_word(scheme, ("scheme", len(scheme)))
     for cues, kind in ((SECRET_CUES, "secret"), (ACCOUNT_CUES, "account")):
         for cue in cues:
-            for spelt in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(spelt, (kind, len(cue)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -75,6 +74,12 @@ def automaton() -> ahocorasick.Automaton:
     return _AUTOMATON
 
 
+def _lowered(text: str) -> str:
+    """The text in lower case, each character at its place, so that anchors are found in any spelling."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, digit in enumerate(reversed(digits)):
@@ -96,6 +101,18 @@ def _iban_holds(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _account_end(said: str) -> int:
+    """Where an account number at the start of this run of groups ends, the longest that holds; 0 if none does."""
+    found, value = 0, ""
+    for group in _GROUP.finditer(said):
+        value += group[0]
+        if len(value) > 34:
+            break
+        if _iban_holds(value) or (value.isdigit() and 8 <= len(value) <= 18):
+            found = group.end()
+    return found
+
+
 def _cards_within(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Parts of a run from one group of digits to another that have a card's number of digits and check digit."""
     groups = [(m.start(), m.end()) for m in _RUN.finditer(text, start, end)]
@@ -116,7 +133,7 @@ def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
     base: list[tuple[str, int, int]] = []
     more: list[tuple[str, int, int]] = []
     ends = {"email": 0, "ip": 0, "card": 0, "phone": 0, "url": 0}
-    for last, (anchor, length) in automaton().iter(text):
+    for last, (anchor, length) in automaton().iter(_lowered(text)):
         at = last - length + 1
         if anchor == "digit":
             if at >= ends["ip"] and (at == 0 or text[at - 1] not in _DIGITS) and (m := _IP.match(text, at)):
@@ -156,9 +173,8 @@ def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
             if (m := _SECRET.match(text, last + 1)) and any(c in _DIGITS for c in m[1]):
                 more.append(("secret", m.start(1), m.end(1)))
         elif (m := _ACCOUNT.match(text, last + 1)) and (at == 0 or not text[at - 1].isalpha()):
-            value = m[1].replace(" ", "").replace("-", "")
-            if _iban_holds(value) or (value.isdigit() and 8 <= len(value) <= 18):
-                more.append(("account", m.start(1), m.end(1)))
+            if end := _account_end(m[1]):
+                more.append(("account", m.start(1), m.start(1) + end))
     order = lambda s: (s[1], RANK[s[0]], s[2])
     base.sort(key=order)
     taken = set(base)
@@ -171,13 +187,14 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(parts):
-        rows: dict[str, list] = {f"n_{kind}": [] for kind in BASE_KINDS} | {"base_sha256": [], "spans": []}
+        rows: dict[str, list] = {f"n_{kind}": [] for kind in BASE_KINDS} | {"base_sha256": [], "spans": [], "n_spans": []}
         for text in text_column(batch, "text"):
             base, more = find_spans(text)
             for kind in BASE_KINDS:
                 rows[f"n_{kind}"].append(sum(s[0] == kind for s in base))
             rows["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
             rows["spans"].append(joined(base + more))
+            rows["n_spans"].append(len(base) + len(more))
         yield pa.RecordBatch.from_arrays(
             [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), *(pa.array(rows[k], pa.int64() if k.startswith("n_") else pa.string()) for k in rows)],
             names=["doc_id", *rows],
@@ -186,7 +203,7 @@ def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Counts, digest and spans for every row; reads doc_id and text only, no exchange."""
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, schema)
 
 

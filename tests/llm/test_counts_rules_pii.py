@@ -242,6 +242,45 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mixing.mix(spark, docs.limit(0)).count() == 0
 
 
+def plain_url(text):
+    """URLs by trying every place: a scheme in any case, then characters that are no blank, quote or bracket, closing marks left off."""
+    out, end = [], 0
+    for at in range(len(text)):
+        scheme = next((s for s in ("http://", "https://", "ftp://") if text[at : at + len(s)].lower() == s), None)
+        if scheme is None or at < end:
+            continue
+        stop = first = at + len(scheme)
+        while stop < len(text) and not text[stop].isspace() and text[stop] not in "<>\"'|\\^`{}":
+            stop += 1
+        if stop == first or not (text[first].isascii() and text[first].isalnum()):
+            continue
+        full = stop
+        while stop > first and text[stop - 1] in ".,;:!?)]}*$%&#":
+            stop -= 1
+        if stop > first:
+            out.append(("url", at, stop))
+            end = full
+    return out
+
+
+def test_added_kinds_match_plain_versions():
+    rng = random.Random(12)
+    parts = ["http://", "HttpS://", "FTP://", "a.b", "/x?y=1", " ", "(", ")", ".", ",", "\"", "é", "x", "\n", "www"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert [s for s in pii.find_spans(text)[1] if s[0] == "url"] == plain_url(text), text
+    for cue in ("ApiKey", "api_KEY", "Access_Key", "pAssword", "TOKEN", "Api-Key"):
+        for between in (": ", "=", " := ", "=\"", " = '"):
+            value = "".join(rng.choice("abcXYZ012_-/+.") for _ in range(rng.randrange(15, 60))) + "7a"
+            text = f"İ say {cue}{between}{value} end"
+            at = text.index(value)
+            assert [s for s in pii.find_spans(text)[1] if s[0] == "secret"] == [("secret", at, at + len(value))], text
+    for cue, value, found in (("Iban", "GB82 WEST 1234 5698 7654 32", True), ("IBAN:", "GB83 WEST 1234 5698 7654 32", False), ("account no.", "1234-5678", True), ("account", "1234567", False), ("myaccount", "12345678", False), ("Acct #", "1" * 18, True), ("acct", "1" * 19, False)):
+        text = f"the {cue} {value}" + rng.choice([".", " AND SO ON", "-X", " é"])
+        at = text.index(value)
+        assert [s for s in pii.find_spans(text)[1] if s[0] == "account"] == ([("account", at, at + len(value))] if found else []), text
+
+
 def test_long_secrets_are_taken_whole():
     secret = "eyJ0" + "aB3_-x.Y9" * 120
     assert pii.redact_text(f"api_key = {secret} end") == "api_key = <SECRET> end"
