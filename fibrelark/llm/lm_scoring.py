@@ -2,20 +2,21 @@
 
 The strings of an existing subword vocabulary are the arcs of a lattice over each
 word, and the probability of a word is the sum over all its segmentations, by
-forward recursion in log space. Scores of the strings come from the vocabulary's own
-order (as a prior) and from the training documents: every distinct training word is
-cut by the existing tokenizer and counted by its frequency. A character outside the
-vocabulary is spelt by its bytes. A word of the training documents is one more arc over
-its whole length, weighed by its count; the other arcs share the probability of unseen
-words (Good-Turing: the share of words found once). A document is its words and one end.
+forward recursion in log space. The vocabulary's own scores are where the weights of the
+arcs start: they order the strings, and the first weights fall with that order. EM_ROUNDS
+rounds of expectation and maximisation then fit them to the training documents: every
+distinct training word adds the expected number of uses of each string over all its
+segmentations (forward and backward sums), times its count. A character outside the
+vocabulary is spelt by its bytes. A document is its words and one end.
 
 Corpus counts are a table of words. Words found in more than ``N / FREQUENT`` of all
 training tokens number less than FREQUENT, so their counts are broadcast; the others
-reach the documents by a shuffle join.
+reach the documents by a shuffle join, whose large partitions the engine may split.
 
-Defined results: a null or blank text is just its end; a null doc_id counts as the
-text "" for the split; repeated rows are documents each; an empty table gives an
-empty result; without training documents every count is 0; other columns are ignored.
+Defined results: a null or blank text is just its end; very long texts and words are
+scored whole; a null doc_id counts as the text "" for the split; repeated rows are
+documents each; an empty table gives an empty result; without training documents every
+count is 0 and the weights are the first ones; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +38,11 @@ FOLDS, HELD_OUT = 5, 1
 FREQUENT = 200_000
 # Distinct words that a task counts before it passes them on.
 HELD_WORDS = 400_000
-# Weight of the vocabulary's own order against counted pieces, in pieces.
+# Weight of the vocabulary's own order against expected uses, in uses.
 PRIOR = 2_000.0
+EM_ROUNDS = 2
+# Words up to this length are summed without logarithms when expectations are taken.
+PLAIN = 40
 SPACE = "▁"
 END = -1  # the end's place among the piece ids of the counts
 
@@ -87,17 +91,123 @@ def _processor(path: str) -> sentencepiece.SentencePieceProcessor:
     return _PIECES[path]
 
 
-def _piece_counts(path: str):  # noqa: ANN202
+Trie = dict[str, tuple[int, float] | None]
+
+
+def trie_of(strings: dict[str, tuple[int, float]]) -> Trie:
+    """Every beginning of a string is there, with None if it is no string itself."""
+    trie: Trie = {}
+    for entry, value in strings.items():
+        for k in range(1, len(entry)):
+            trie.setdefault(entry[:k], None)
+        trie[entry] = value
+    return trie
+
+
+Arc = tuple[int, int, int | list[int], float]  # start, end, string or bytes, log probability
+
+
+def arcs_of(text: str, trie: Trie, bytes_of: list[tuple[int, float]]) -> list[Arc]:
+    """The arcs of the lattice that can be reached, by start."""
+    size = len(text)
+    reached = [True] + [False] * size
+    arcs: list[Arc] = []
+    for i in range(size):
+        if not reached[i]:
+            continue
+        single = False
+        for j in range(i + 1, size + 1):
+            part = text[i:j]
+            if part not in trie:
+                break
+            found = trie[part]
+            if found is not None:
+                single = single or j == i + 1
+                arcs.append((i, j, *found))
+                reached[j] = True
+        if not single:  # the character alone, by its bytes
+            spelt = [bytes_of[b] for b in text[i].encode("utf-8", "surrogatepass")]
+            arcs.append((i, i + 1, [b for b, _ in spelt], sum([v for _, v in spelt])))
+            reached[i + 1] = True
+    return arcs
+
+
+def _log_add(a: float, b: float) -> float:
+    high, low = (a, b) if a > b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+class Expectation:
+    """Expected uses of strings and bytes over all segmentations, summed over words."""
+
+    def __init__(self, strings: dict[str, tuple[int, float]], bytes_of: list[tuple[int, float]], size: int) -> None:
+        self.trie, self.bytes_of = trie_of(strings), bytes_of
+        self.chances = {k: v and (v[0], math.exp(v[1])) for k, v in self.trie.items()}
+        self.uses = [0.0] * size
+
+    def add(self, word: str, n: float) -> None:
+        """Adds n times the expected uses of the word."""
+        text = SPACE + word
+        if len(text) > PLAIN:
+            self._add_long(text, n)
+            return
+        size, chances, uses = len(text), self.chances, self.uses
+        forward, passes = [1.0] + [0.0] * size, [0.0] * size + [n]
+        arcs = []
+        add = arcs.append
+        for i in range(size):
+            here = forward[i]
+            if here == 0.0:
+                continue
+            single = False
+            for j in range(i + 1, size + 1):
+                part = text[i:j]
+                if part not in chances:
+                    break
+                found = chances[part]
+                if found is not None:
+                    single = single or j == i + 1
+                    along = here * found[1]
+                    forward[j] += along
+                    add((i, j, found[0], along))
+            if not single:  # the character alone, by its bytes
+                spelt = [self.bytes_of[b] for b in text[i].encode("utf-8", "surrogatepass")]
+                along = here * math.exp(sum([v for _, v in spelt]))
+                forward[i + 1] += along
+                add((i, i + 1, [b for b, _ in spelt], along))
+        # Backward: of the uses that pass a position, each arc into it has its part of the forward sum.
+        for i, j, what, along in reversed(arcs):
+            share = passes[j] * along / forward[j]
+            passes[i] += share
+            if type(what) is int:
+                uses[what] += share
+            else:
+                for b in what:
+                    uses[b] += share
+
+    def _add_long(self, text: str, n: float) -> None:
+        """The same with logarithms, for words whose sums might be too small for a number."""
+        size = len(text)
+        arcs = arcs_of(text, self.trie, self.bytes_of)
+        forward, passes = [0.0] + [-math.inf] * size, [0.0] * size + [n]
+        for i, j, _, p in arcs:
+            forward[j] = _log_add(forward[j], forward[i] + p)
+        for i, j, what, p in reversed(arcs):
+            share = passes[j] * math.exp(forward[i] + p - forward[j])
+            passes[i] += share
+            for b in [what] if type(what) is int else what:
+                self.uses[b] += share
+
+
+def _uses(model, size: int):  # noqa: ANN001, ANN202
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = _processor(path)
-        total = np.zeros(processor.get_piece_size(), np.int64)
+        found_uses = Expectation(*model.value, size)
         for batch in batches(parts):
-            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            cut = processor.encode(words, num_threads=1)
-            weights = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), [len(c) for c in cut])
-            total += np.bincount(np.fromiter((i for c in cut for i in c), np.int64), weights, len(total)).astype(np.int64)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["piece", "n"])
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found_uses.add(word.decode("utf-8", "replace"), float(n))
+        uses = np.array(found_uses.uses)
+        found = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(uses[found])], names=["piece", "n"])
 
     return run
 
@@ -108,12 +218,7 @@ class Lattice:
     def __init__(self, scores: dict[str, float], byte_scores: list[float]) -> None:
         self.longest = max(map(len, scores), default=1)
         self.byte_scores = byte_scores
-        # Every beginning of a string is there, with None if it is no string itself.
-        self.trie: dict[str, float | None] = {}
-        for entry, score in scores.items():
-            for k in range(1, len(entry)):
-                self.trie.setdefault(entry[:k], None)
-            self.trie[entry] = score
+        self.trie: dict[str, float | None] = {k: v and v[1] for k, v in trie_of({k: (0, v) for k, v in scores.items()}).items()}
 
     def log_probability(self, word: str) -> float:
         """Natural logarithm; the forward recursion over character positions."""
@@ -156,48 +261,54 @@ class Lattice:
         return most + log(sum([exp(x - most) for x in arcs]))
 
 
-def learned_scores(path: str, counted: dict[int, int], ends: int) -> tuple[dict[str, float], list[float], float]:
-    """Log probabilities of the vocabulary's strings, of single bytes and of the end; all sum to 1.
+class Vocabulary:
+    """The existing vocabulary: its strings, single bytes and the order of their scores."""
 
-    The vocabulary's scores order its strings; their prior falls with that order.
-    """
-    processor = _processor(path)
-    ids = [i for i in range(processor.get_piece_size()) if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i))]
-    own = np.array([processor.get_score(i) for i in ids])
-    byte = np.array([processor.is_byte(i) for i in ids])
-    # Bytes and forbidden merges have no place of their own in the order; they come last.
-    order = np.empty(len(ids))
-    order[np.lexsort((np.arange(len(ids)), -own, byte))] = np.arange(len(ids))
-    prior = 1.0 / (order + 3.0)
-    n = np.array([counted.get(i, 0) for i in ids], float)
-    mass = n + PRIOR * prior / prior.sum()
-    whole = mass.sum() + ends + 1.0
-    logs = np.log(mass / whole)
-    scores, byte_scores = {}, [0.0] * 256
-    for i, value, is_byte in zip(ids, logs.tolist(), byte.tolist(), strict=True):
-        piece = processor.id_to_piece(i)
-        if is_byte:
-            byte_scores[int(piece[3:5], 16)] = value
-        else:
-            scores[piece] = value
-    return scores, byte_scores, math.log((ends + 1.0) / whole)
-
-
-def with_whole(spelt: np.ndarray, counts: np.ndarray, total: int, unseen: float) -> np.ndarray:
-    """Adds the arc over the whole token: log of (1 - unseen) * count / total + unseen * spelt."""
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(unseen) + spelt, np.log1p(-unseen) + np.log(counts / max(total, 1)))
-
-
-def _lattice_scores(model, total: int, unseen: float):  # noqa: ANN001, ANN202
+    def __init__(self, path: str) -> None:
+        processor = _processor(path)
+        self.size = processor.get_piece_size()
+        self.ids = [i for i in range(self.size) if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i))]
+        own = np.array([processor.get_score(i) for i in self.ids])
+        self.byte = np.array([processor.is_byte(i) for i in self.ids])
+        self.pieces = [processor.id_to_piece(i) for i in self.ids]
+        # Bytes and forbidden merges have no place of their own in the order; they come last.
+        order = np.empty(len(self.ids))
+        order[np.lexsort((np.arange(len(self.ids)), -own, self.byte))] = np.arange(len(self.ids))
+        self.prior = 1.0 / (order + 3.0)
+
+    def weights(self, uses: dict[int, float], ends: int) -> tuple[dict[str, tuple[int, float]], list[tuple[int, float]], float]:
+        """Id and log probability of each string and of each byte, and the end's; all probabilities sum to 1."""
+        n = np.array([uses.get(i, 0.0) for i in self.ids])
+        mass = n + PRIOR * self.prior / self.prior.sum()
+        whole = mass.sum() + ends + 1.0
+        strings, bytes_of = {}, [(0, 0.0)] * 256
+        for i, piece, value, is_byte in zip(self.ids, self.pieces, np.log(mass / whole).tolist(), self.byte.tolist(), strict=True):
+            if is_byte:
+                bytes_of[int(piece[3:5], 16)] = (i, value)
+            else:
+                strings[piece] = (i, value)
+        return strings, bytes_of, math.log((ends + 1.0) / whole)
+
+
+def fitted(spark: SparkSession, words: DataFrame, path: str, ends: int):  # noqa: ANN201
+    """The weights after EM_ROUNDS rounds over the training words (word, n); at most a row for each string comes to the driver."""
+    vocabulary = Vocabulary(path)
+    weights = vocabulary.weights({}, 0)
+    for _ in range(EM_ROUNDS):
+        model = spark.sparkContext.broadcast(weights[:2])
+        uses = words.filter("n > 0").mapInArrow(_uses(model, vocabulary.size), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        weights = vocabulary.weights({r["piece"]: r["n"] for r in uses.collect()}, ends)
+    return weights
+
+
+def _lattice_scores(model):  # noqa: ANN001, ANN202
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores, byte_scores = model.value
-        lattice = Lattice(scores, byte_scores)
+        strings, bytes_of = model.value
+        lattice = Lattice({k: v for k, (_, v) in strings.items()}, [v for _, v in bytes_of])
         for batch in batches(parts):
             # Bytes that are no UTF-8 never occur in a string column; replacing keeps the task alive if they do.
-            spelt = np.array([lattice.log_probability(w.decode("utf-8", "replace")) for w in batch.column(0).to_pylist()], float)
-            lattice_scores = with_whole(spelt, batch.column(1).to_numpy(zero_copy_only=False).astype(float), total, unseen)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lattice_scores, pa.float64())], names=["word", "n", "lattice"])
+            scores = [lattice.log_probability(w.decode("utf-8", "replace")) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["word", "n", "lattice"])
 
     return run
 
@@ -248,23 +359,17 @@ def score_documents(spark: SparkSession, docs: DataFrame, vocabulary_path: str)
     stats = counted.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.count_if(F.col("n") > 0).alias("distinct"),
-        F.count_if((F.col("n") == 1) & F.col("word").isNotNull()).alias("once"),
         F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends"),
     ).first()
     total, ends = stats["total"], stats["ends"]
-    unseen = min(1.0, max(stats["once"], 1) / max(total, 1))
     whole = math.log10(total + 0.5 * (stats["distinct"] + 1))
 
     words = counted.filter("word is not null")
-    # At most as many rows as the vocabulary has strings.
-    pieces = words.filter("n > 0").mapInArrow(_piece_counts(vocabulary_path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    scores, byte_scores, end_score = learned_scores(vocabulary_path, {r["piece"]: r["n"] for r in pieces.collect()}, ends)
-    model = spark.sparkContext.broadcast((scores, byte_scores))
-    table = scratch.write(words.mapInArrow(_lattice_scores(model, total, unseen), "word binary, n long, lattice double"), "words")
+    strings, bytes_of, end_score = fitted(spark, words, vocabulary_path, ends)
+    model = spark.sparkContext.broadcast((strings, bytes_of))
+    table = scratch.write(words.mapInArrow(_lattice_scores(model), "word binary, n long, lattice double"), "words")
     scratch.drop("counts")
 
-    end_score = float(with_whole(np.array([end_score]), np.array([float(ends)]), total, unseen)[0])
-
     # Each of these has more than total / FREQUENT tokens, so there are less than FREQUENT of them.
     often = table.filter(F.col("n") * FREQUENT > total)
     ten = math.log(10.0)

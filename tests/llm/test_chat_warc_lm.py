@@ -156,14 +156,62 @@ def test_lm_rows_match_a_plain_version(spark, monkeypatch):
     assert alone.collect() == []
 
 
-def test_whole_words_are_one_more_arc():
-    spelt, counts = np.log([0.25, 0.01, 0.5]), np.array([3.0, 0.0, 1.0])
-    got = np.exp(lm_scoring.with_whole(spelt, counts, 10, 0.2))
-    assert got.tolist() == pytest.approx([0.8 * 0.3 + 0.2 * 0.25, 0.2 * 0.01, 0.8 * 0.1 + 0.2 * 0.5])
-    assert np.exp(lm_scoring.with_whole(spelt, counts * 0, 0, 1.0)).tolist() == pytest.approx([0.25, 0.01, 0.5])
-
-
-def test_scores_sum_to_one():
-    scores, byte_scores, end = lm_scoring.learned_scores(public_tokenizers.path("piece_bpe_32k.model"), {300: 5000, 400: 70}, 12)
-    assert sum(map(math.exp, scores.values())) + sum(map(math.exp, byte_scores)) + math.exp(end) == pytest.approx(1.0)
-    assert len(scores) > 31_000
+def segmentations(text, strings, bytes_of):
+    """Every way to spell the text, as (ids, log probability)."""
+    if not text:
+        yield [], 0.0
+        return
+    for k in range(1, len(text) + 1):
+        if text[:k] in strings:
+            i, p = strings[text[:k]]
+            for ids, q in segmentations(text[k:], strings, bytes_of):
+                yield [i, *ids], p + q
+    if text[0] not in strings:
+        spelt = [bytes_of[b] for b in text[0].encode()]
+        for ids, q in segmentations(text[1:], strings, bytes_of):
+            yield [*(i for i, _ in spelt), *ids], sum(p for _, p in spelt) + q
+
+
+def test_scores_equal_sums_over_all_segmentations(spark):
+    """The fitted weights and the score of whole documents, by enumeration."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["the cat sat", "The cat saw the \u65e5 hat", "", "a ab abc abcd", "hat that", None, "xq zz", "the hats"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for k, t in enumerate(texts)}
+    train = {k for k in words if zlib.crc32(str(k).encode()) % 5 != 1}
+    assert 0 < len(train) < len(words)
+    vocabulary = lm_scoring.Vocabulary(path)
+    weights = vocabulary.weights({}, 0)
+    for _ in range(lm_scoring.EM_ROUNDS):
+        uses = Counter()
+        for word, n in Counter(w for k in train for w in words[k]).items():
+            ways = list(segmentations("\u2581" + word, *weights[:2]))
+            total = sum(math.exp(p) for _, p in ways)
+            for ids, p in ways:
+                for i in ids:
+                    uses[i] += n * math.exp(p) / total
+        weights = vocabulary.weights(uses, len(train))
+        mass = np.array([uses[i] for i in vocabulary.ids]) + lm_scoring.PRIOR * vocabulary.prior / vocabulary.prior.sum()
+        assert weights[0]["\u2581the"][1] == pytest.approx(math.log(mass[vocabulary.pieces.index("\u2581the")] / (mass.sum() + len(train) + 1)))
+    for r in lm_scoring.score_documents(spark, docs, path).collect():
+        plain = weights[2] + sum(math.log(sum(math.exp(p) for _, p in segmentations("\u2581" + w, *weights[:2]))) for w in words[r.doc_id])
+        assert r.score == pytest.approx(plain / math.log(10), rel=1e-9)
+
+
+def test_expected_uses_of_long_words_equal_those_of_short_ones(monkeypatch):
+    strings, bytes_of, _ = lm_scoring.Vocabulary(public_tokenizers.path("piece_bpe_32k.model")).weights({}, 0)
+    plain, logs = (lm_scoring.Expectation(strings, bytes_of, 32_000) for _ in range(2))
+    for word in ("internationalisation", "\u65e5\u672c\U0001f600x", ""):
+        plain.add(word, 3.0)
+    monkeypatch.setattr(lm_scoring, "PLAIN", 0)
+    for word in ("internationalisation", "\u65e5\u672c\U0001f600x", ""):
+        logs.add(word, 3.0)
+    assert logs.uses == pytest.approx(plain.uses)
+    logs.add("ab" * 3000, 1.0)
+    assert np.isfinite(logs.uses).all()
+
+
+def test_weights_sum_to_one():
+    strings, bytes_of, end = lm_scoring.Vocabulary(public_tokenizers.path("piece_bpe_32k.model")).weights({300: 5000.0, 400: 70.0}, 12)
+    assert sum(math.exp(p) for _, p in strings.values()) + sum(math.exp(p) for _, p in bytes_of) + math.exp(end) == pytest.approx(1.0)
+    assert len(strings) > 31_000
