@@ -11,19 +11,23 @@ word edits of it.
    item also has place an item-sized window; no match can be missed, and nothing else
    is embedded.
 2. The CGK random walk reads a window under a shared random source and turns its edit
-   distance to the item into a Hamming distance. Each of REPEATS tables samples a few
-   positions of one of several embeddings; a window that agrees with the item in
-   any table is a candidate. BITS and REPEATS are chosen so that a window at the
-   edit limit is found with a probability over 0.99 (measured in the tests) for items
-   of LEAST_SCREENED to SCREENED_WORDS words. The walks drift apart in longer ones and
-   shorter ones have few windows, so all windows of those are candidates.
+   distance to an item into a Hamming distance. Each of REPEATS tables samples a few
+   positions of one of several embeddings; the places depend on the number of words
+   only, so the items of a size are indexed by their buckets once, and a window is
+   looked up in all tables of its size. Items in one of its buckets are candidates.
+   BITS and REPEATS are chosen so that a window at the edit limit is found with a
+   probability over 0.99 (measured in the tests) for items of LEAST_SCREENED to
+   SCREENED_WORDS words. The walks drift apart in longer ones and shorter ones have few
+   windows, so all windows of those are candidates.
 3. Candidates are verified by the exact edit distance with free ends: bit-parallel for
    the edits and the end, then a band of the plain table for the start.
 
-Items are broadcast in blocks of BLOCK_WORDS words at most; each block is one pass over
-the documents, whose texts are never shuffled.
+Items are indexed on the driver in blocks of BLOCK_WORDS words at most, which bounds an
+index (about 20 MB), and broadcast; each block is one pass over the documents, whose
+texts are never shuffled.
 
-Defined results: null or empty texts and items match nothing; items of one or two
+Defined results: null or empty texts and items match nothing; very long texts and
+items are searched whole; items of one or two
 words are not searched, since a common pair is no evidence; a null
 doc_id or item_id is carried; repeated rows match each; empty tables give an empty
 result; other columns are ignored.
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fibrelark.llm.common import batches, text_column
+from fibrelark.llm.common import batches, mix64, text_column
 
 MOST_EDITS = 0.2
 MIN_WORDS = 3
@@ -51,7 +55,8 @@ REPEATS = 192
 BITS = 4
 LEAST_SCREENED = 8
 SCREENED_WORDS = 48
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
+SLICE = 512  # windows embedded at once, which bounds a worker's memory
 # Thai and Lao, Myanmar, Khmer, New Tai Lue, Tai Tham, kana, Han.
 _UNSPACED = (
     "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1980-\u19df\u1a20-\u1aaf\u3005-\u3007\u3021-\u3029\u3031-\u303c\u3040-\u30ff\u31f0-\u31ff"
@@ -129,8 +134,9 @@ class Walks:
 
     def __init__(self, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        self.steps = rng.integers(1, 1 << 62, size=(WALKS, 4096), dtype=np.int64).astype(np.uint64) | np.uint64(1)
-        self.picks = rng.random((REPEATS, BITS))
+        self.steps = rng.integers(1, 1 << 62, size=(WALKS, 2 * SCREENED_WORDS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+        self.picks = rng.random((WALKS, REPEATS // WALKS, BITS))
+        self.factors = rng.integers(1, 1 << 62, size=BITS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
     def embed(self, windows: np.ndarray, length: int) -> np.ndarray:
         """CGK of each row of word ids under every walk, ``length`` steps; past its end a row gives 0."""
@@ -138,31 +144,31 @@ class Walks:
         # All walks go in step: row r of walk w is at r * WALKS + w.
         padded = np.concatenate([windows, np.zeros((n, 1), np.int64)], axis=1).reshape(-1)
         base = np.repeat(np.arange(n) * (m + 1), WALKS)
-        steps = np.tile(self.steps, (n, 1))
-        out = np.zeros((n * WALKS, length), np.int64)
+        out = np.zeros((length, n * WALKS), np.int64)
         at = np.zeros(n * WALKS, np.int64)
         for step in range(length):
             word = padded[base + np.minimum(at, m)]
-            out[:, step] = word
+            out[step] = word
             # A bit of the word under this step's hash says whether the reader moves.
-            mixed = (word.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * steps[:, step % self.steps.shape[1]]
+            mixed = (word.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.tile(self.steps[:, step], n)
             at += ((mixed >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-        return out.reshape(n, WALKS, length)
+        return out.reshape(length, n, WALKS)
 
-    def places(self, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The item's embedding, and for each walk the positions its tables sample: where the item still has words."""
-        own = self.embed(item[None, :], 3 * len(item))[0]
-        reach = np.maximum(1, (own > 0).sum(axis=1))
-        return own, (self.picks.reshape(WALKS, -1, BITS) * reach[:, None, None]).astype(np.int64)
-
-    def agree(self, windows: np.ndarray, own: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Which windows share a bucket with the item in any table."""
-        same = self.embed(windows, own.shape[1]) == own
-        return np.any([same[:, w][:, places[w]].all(axis=2).any(axis=1) for w in range(WALKS)], axis=0)
+    def buckets(self, windows: np.ndarray) -> np.ndarray:
+        """The bucket of each window in every table. Places lie where a walk over so many words is on average."""
+        n, size = windows.shape
+        embedded = self.embed(windows, 2 * size)
+        places = (self.picks * (2 * size)).astype(np.int64)
+        out = np.empty((n, WALKS, REPEATS // WALKS), np.uint64)
+        for w in range(WALKS):
+            seen = embedded[places[w], :, w].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)  # table, sample, window
+            out[:, w] = (seen * self.factors[None, :, None]).sum(axis=1, dtype=np.uint64).T
+        # A table's number is part of its buckets' names.
+        return mix64(out.reshape(n, REPEATS) ^ mix64(np.arange(1, REPEATS + 1, dtype=np.uint64)))
 
 
 class Items:
-    """A block of benchmark items as word ids, with the places of every three words in a row."""
+    """A block of benchmark items as word ids: the places of every three words in a row, and the buckets of each size."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.ids: dict[str, int] = {}
@@ -174,9 +180,30 @@ class Items:
             own = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.int64)
             self.items.append((item_id, own))
         self.walks = Walks()
-        self.embedded = [self.walks.places(own) if LEAST_SCREENED <= len(own) <= SCREENED_WORDS else None for _, own in self.items]
+        self.index = {n: self._indexed(n) for n in {len(own) for _, own in self.items} if LEAST_SCREENED <= n <= SCREENED_WORDS}
         self.seeds = [self._seeds(width) for width in (SEED_WORDS, SEED_WORDS - 1)]
 
+    def _indexed(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the items of n words in order, and whose each is."""
+        of_size = np.array([k for k, (_, own) in enumerate(self.items) if len(own) == n])
+        buckets = np.concatenate([self.walks.buckets(np.stack([self.items[k][1] for k in of_size[i : i + SLICE]])) for i in range(0, len(of_size), SLICE)])
+        order = np.argsort(buckets.reshape(-1), kind="stable")
+        return buckets.reshape(-1)[order], np.repeat(of_size, REPEATS)[order].astype(np.int32)
+
+    def looked_up(self, windows: np.ndarray) -> np.ndarray:
+        """Distinct (item, row of ``windows``) that share a bucket in any table."""
+        buckets, whose = self.index[windows.shape[1]]
+        found = [np.zeros((0, 2), np.int64)]
+        for i in range(0, len(windows), SLICE):
+            keys = self.walks.buckets(windows[i : i + SLICE]).reshape(-1)
+            first = np.searchsorted(buckets, keys, "left")
+            hit = np.flatnonzero(buckets[np.minimum(first, len(buckets) - 1)] == keys)
+            many = np.searchsorted(buckets, keys[hit], "right") - first[hit]
+            offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            items = whose[np.repeat(first[hit], many) + offset]
+            found.append(np.stack([items, np.repeat(hit // REPEATS, many) + i], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
     def _seeds(self, width: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         """Of the items that so many words in a row seed: width, codes in order, and the item and place of each."""
         seeds = [(int(c), k, at) for k, (_, own) in enumerate(self.items) if (len(own) == PAIR_SEEDED) == (width < SEED_WORDS) for at, c in enumerate(self.codes(own, width))]
@@ -226,18 +253,13 @@ def joined(starts: np.ndarray, n: int, limit: int, size: int) -> list[tuple[int,
     return out
 
 
-def search(items: Items, text: str) -> list[tuple[int | None, int, int, int, int]]:
-    """(item_id, words of the item, edits, first word, end) of each item that leaks into the text, at its best place."""
-    said = words_of(text)
-    words = np.array([items.ids.get(w, 0) for w in said], np.int64)
+def candidates(items: Items, words: np.ndarray) -> dict[int, np.ndarray]:
+    """Starts of candidate windows by item: those in one of its buckets, or all that seeds place where no buckets are kept."""
     placed = items.windows(words)
-    out = []
-    if not len(placed):
-        return out
-    listed = words.tolist()
-    # Words that no item has are all alike to the distance: none of them equals an item's word.
-    for k in np.unique(placed[:, 0]):
-        item_id, own = items.items[k]
+    out: dict[int, np.ndarray] = {}
+    by_size: dict[int, list[np.ndarray]] = {}
+    for k in np.unique(placed[:, 0]) if len(placed) else []:
+        own = items.items[k][1]
         n = len(own)
         limit = edit_limit(n)
         starts = placed[placed[:, 0] == k, 1]
@@ -247,11 +269,31 @@ def search(items: Items, text: str) -> list[tuple[int | None, int, int, int, int
         near = near[members[np.minimum(near + n + limit, len(words))] - members[np.maximum(near - limit, 0)] >= n - limit]
         if not len(near):
             continue
-        if items.embedded[k] is not None:
-            at = near[:, None] + np.arange(n)[None, :]
-            rows = np.where((at >= 0) & (at < len(words)), words[np.clip(at, 0, len(words) - 1)], 0)
-            rows = np.where(rows == 0, -1, rows)  # a foreign word is no end of text
-            near = near[items.walks.agree(rows, *items.embedded[k])]
+        if n in items.index:
+            by_size.setdefault(n, []).append(near)
+        else:
+            out[int(k)] = near
+    for n, lists in by_size.items():
+        starts = np.unique(np.concatenate(lists))
+        at = starts[:, None] + np.arange(n)[None, :]
+        rows = np.where((at >= 0) & (at < len(words)), words[np.clip(at, 0, len(words) - 1)], 0)
+        pairs = items.looked_up(np.where(rows == 0, -1, rows))  # a foreign word is no end of text
+        for k in np.unique(pairs[:, 0]):
+            out[int(k)] = starts[pairs[pairs[:, 0] == k, 1]]
+    return out
+
+
+def search(items: Items, text: str) -> list[tuple[int | None, int, int, int, int]]:
+    """(item_id, words of the item, edits, first word, end) of each item that leaks into the text, at its best place."""
+    words = np.array([items.ids.get(w, 0) for w in words_of(text)], np.int64)
+    out = []
+    # Words that no item has are all alike to the distance: none of them equals an item's word.
+    listed: list[int] | None = None
+    for k, near in sorted(candidates(items, words).items()):
+        listed = words.tolist() if listed is None else listed
+        item_id, own = items.items[k]
+        n = len(own)
+        limit = edit_limit(n)
         best = None
         # Windows that overlap are one stretch, so each word is read once.
         for low, high in joined(near, n, limit, len(words)):
@@ -276,8 +318,10 @@ def _blocks_of(spark: SparkSession, benchmark: DataFrame) -> list[DataFrame]:
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _rows_of(block: DataFrame) -> list[tuple[int | None, str]]:
-    return sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+def _indexed(spark: SparkSession, block: DataFrame):  # noqa: ANN202
+    """A block's index, built once and broadcast."""
+    rows = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return spark.sparkContext.broadcast(Items(rows))
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, row_id: bool = False) -> DataFrame:
@@ -285,10 +329,10 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, row_i
     docs = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = []
     for block in _blocks_of(spark, benchmark):
-        shared = spark.sparkContext.broadcast(_rows_of(block))
+        shared = _indexed(spark, block)
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            items = Items(shared.value)
+            items = shared.value
             for batch in batches(parts):
                 out: list[tuple] = []
                 for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_column(batch, "text"), strict=True):
@@ -304,10 +348,10 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, row_i
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item leaks into, with all their columns. Each row is decided by its own text."""
     for block in _blocks_of(spark, benchmark):
-        shared = spark.sparkContext.broadcast(_rows_of(block))
+        shared = _indexed(spark, block)
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            items = Items(shared.value)
+            items = shared.value
             for batch in batches(parts):
                 yield batch.filter(pa.array([not search(items, text) for text in text_column(batch, "text")], pa.bool_()))
 
