@@ -14,8 +14,9 @@ templates with the sample's words, which bring layouts that the sample may lack.
 sample's labels say: inside article or main elements, but not inside menus, forms,
 asides or the like there.
 
-Defined results: null or empty html has an empty text; page_id and url may be null or
-repeat; broken markup is closed as browsers do, and a tag that never ends is
+Defined results: null or empty html has an empty text; very long and deeply nested pages
+are read whole, in linear time; what a browser that runs scripts does not show as text
+(noscript, canvas, the text of form fields) is none; page_id and url may be null or repeat; broken markup is closed as browsers do, and a tag that never ends is
 dropped; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ TRAIN_PAGES = 200
 MADE_PAGES = 300
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?)-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>"
+    r"<[!?][^>]*+>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|(?P<text>[^<]++|<)",
     re.S,
@@ -58,6 +60,7 @@ ENDS_P = frozenset(
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 LISTS = frozenset("ul ol dl menu table".split())
+SCOPES = frozenset("p td th li table button caption".split())
 MAIN = frozenset("article main".split())
 APART = frozenset("nav footer aside form header menu button dialog fieldset".split())
 POSITIVE = frozenset("article content post entry main body story text page blog news hentry maincontent".split())
@@ -68,6 +71,52 @@ NEGATIVE = frozenset(
 )
 
 
+class _Stack:
+    """Open elements; each name's places are kept, so that no end tag searches the whole stack."""
+
+    def __init__(self) -> None:
+        self.tags, self.nodes = ["#root"], [0]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []  # places of paragraphs and of what a paragraph's end does not cross
+
+    def node(self) -> int:
+        return self.nodes[-1]
+
+    def top(self) -> str:
+        return self.tags[-1]
+
+    def last(self, tag: str) -> int:
+        """The innermost place of an open element of this name; 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in SCOPES:
+            self.scopes.append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Ends the element at place k and all within."""
+        for tag in self.tags[k:]:
+            self.places[tag].pop()
+        while self.scopes and self.scopes[-1] >= k:
+            self.scopes.pop()
+        del self.tags[k:], self.nodes[k:]
+
+    def end_paragraph(self) -> None:
+        if self.scopes and self.tags[self.scopes[-1]] == "p":
+            self.cut(self.scopes[-1])
+
+    def end_items(self, tags: set[str]) -> None:
+        """Ends the open items of these names in the innermost list or table."""
+        within = max(self.last(tag) for tag in LISTS)
+        open_ = [places[bisect_right(places, within)] for tag in tags if (places := self.places.get(tag)) and places[-1] > within]
+        if open_:
+            self.cut(min(open_))
+
+
 class Page:
     """Block nodes of a page in page order, and its blocks of text, each below one node."""
 
@@ -83,23 +132,33 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int]] = [("#root", 0)]
+        stack = _Stack()
         pieces: list[str] = []
         linked = 0
         in_link = False
         at, n, lowered = 0, len(html), None
+        # Where the last comment and the last marked section end: what starts after that has no end.
+        last_comment, last_section = html.rfind("-->"), html.rfind("]]>")
 
         def flush() -> None:
             nonlocal linked
             if pieces:
                 text = " ".join(entities.unescape("".join(pieces)).split())
                 if text:
-                    self.blocks.append((stack[-1][1], text))
+                    self.blocks.append((stack.node(), text))
                     self.links.append(min(linked, len(text)))
                 pieces.clear()
             linked = 0
 
         while at < n:
+            if html.startswith("<!--", at) and at + 4 <= last_comment:
+                at = html.index("-->", at + 4) + 3
+                continue
+            if html.startswith("<![CDATA[", at) and at + 9 <= last_section:
+                end = html.index("]]>", at + 9)
+                pieces.append(html[at + 9 : end])
+                at = end + 3
+                continue
             m = _TOKEN.match(html, at)
             if m is None:  # an unfinished comment or declaration
                 break
@@ -114,27 +173,21 @@ class Page:
                 continue
             tag = m["tag"] or m["tag2"]
             if tag is None:
-                if m[0].startswith("<![CDATA["):
-                    pieces.append(m[0][9:-3])
                 continue
             tag = tag.lower()
             closing = m["close"] or m["close2"]
             if closing:
                 if tag == "a":
                     in_link = False
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if tag not in INLINE:
-                            flush()
-                            del stack[k:]
-                        else:  # a marked inline element: its text is a block of its own
-                            if k == len(stack) - 1:
-                                flush()
-                                del stack[k:]
-                        break
-                else:
-                    if tag == "br":
-                        pieces.append(" ")
+                if tag in INLINE:
+                    if stack.top() == tag:  # a marked inline element: its text is a block of its own
+                        flush()
+                        stack.cut(len(stack.tags) - 1)
+                elif (k := stack.last(tag)) > 0:
+                    flush()
+                    stack.cut(k)
+                elif tag == "br":
+                    pieces.append(" ")
                 continue
             attrs = m["attrs"] if m["tag"] else m["attrs2"]
             if tag in RAW:
@@ -154,27 +207,28 @@ class Page:
             if tag in VOID:
                 if tag == "hr":
                     flush()
-                    _close(stack, "p")
+                    stack.end_paragraph()
                 continue
             found = _tokens(attrs) if "=" in attrs else frozenset()
             if tag in INLINE:
                 if tag == "a":
                     in_link = True
-                if not (found & NEGATIVE):
+                # A marked inline element is judged apart where it begins a block, never within a sentence.
+                if not (found & NEGATIVE) or any(not piece.isspace() for piece in pieces):
                     continue
                 flush()
             else:
                 flush()
                 if tag in ENDS_P:
-                    _close(stack, "p")
+                    stack.end_paragraph()
                 elif tag in CLOSES:
-                    _close_any(stack, CLOSES[tag])
+                    stack.end_items(CLOSES[tag])
                 in_link = in_link and tag in ENDS_P
             self.tags.append(tag)
             self.tokens.append(found)
-            self.parents.append(stack[-1][1])
-            self.depths.append(len(stack))
-            stack.append((tag, len(self.tags) - 1))
+            self.parents.append(stack.node())
+            self.depths.append(len(stack.tags))
+            stack.push(tag, len(self.tags) - 1)
         flush()
         self._split_mixed()
 
@@ -204,27 +258,6 @@ def _tokens(attrs: str) -> frozenset[str]:
     return frozenset(_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower()))
 
 
-def _close(stack: list[tuple[str, int]], tag: str) -> None:
-    """Ends an open element of this name unless a table cell or list item stands between."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] == tag:
-            del stack[k:]
-            return
-        if stack[k][0] in ("td", "th", "li", "table", "button", "caption"):
-            return
-
-
-def _close_any(stack: list[tuple[str, int]], tags: set[str]) -> None:
-    top = None
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] in LISTS:
-            break
-        if stack[k][0] in tags:
-            top = k
-    if top is not None:
-        del stack[top:]
-
-
 FEATURES = 32
 
 

@@ -1,6 +1,7 @@
 """Main text on held-out pages, and leaks against a search of every place."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,22 @@ def test_odd_markup_does_not_crash(model, html):
     assert isinstance(extracted(model, html), str)
 
 
+def test_inline_elements_stay_in_their_sentence(model):
+    html = ARTICLE.replace("Be.", 'A <span class="more">tag</span>ged word, <!-- a --><i class="ad">so</i> it is.')
+    assert extracted(model, html).endswith("A tagged word, so it is.")
+
+
+@pytest.mark.parametrize("html", ["<!-- a " * 4000, "<div>" * 4000 + "</span></p></x>" * 4000, "<p><button>" + "<div>" * 4000, "<ul>" + "<li><b class=ad>" * 4000, "<![CDATA[" * 4000, "<span class=ad>" * 4000 + "</i>" * 4000])
+def test_hostile_pages_are_read_in_linear_time(html):
+    def steps(source):
+        began = time.process_time()
+        html_extract.Page(source)
+        return time.process_time() - began
+
+    steps(html)
+    assert steps(html * 4) < 12 * max(steps(html), 0.02)
+
+
 def test_pages_come_back_whole(spark):
     rows = [(k, f"u{k}", ARTICLE.replace("Be.", f"Be {k}.")) for k in range(30)] + [(None, None, None), (5, "u5", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text")
