@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating stars over written tables."""
+"""Connected components of a table of links over written tables: alternating stars, or contraction of labels as links come."""
 
 from __future__ import annotations
 
@@ -30,8 +30,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 def near_labels(links: DataFrame) -> DataFrame:
     """(node, label) in one pass: the least node within three links downhill.
 
-    Nodes with one label are connected; connected nodes may still differ. That is
-    enough to leave out comparisons, and needs no rounds.
+    Nodes with one label are connected; connected nodes may still differ.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = _nearest(both)
@@ -40,6 +39,42 @@ def near_labels(links: DataFrame) -> DataFrame:
     return once.join(up, "low").select("node", F.col("next").alias("label"))
 
 
+class Labels:
+    """Labels of the components of links that come in parts: (node, label) for every node with a link so far.
+
+    New links are mapped to the labels of their ends and contracted until none is left
+    between two labels. Nothing that was contracted before is looked at again, and the
+    number of rounds grows with the logarithm of the longest chain of new links.
+    """
+
+    def __init__(self, scratch: Scratch, name: str = "labels") -> None:
+        self.scratch, self.name, self.turn = scratch, name, 0
+        self.table: DataFrame | None = None
+
+    def _mapped(self, links: DataFrame, labels: DataFrame) -> DataFrame:
+        side = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
+        named = links.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        ends = F.coalesce("label_a", "a"), F.coalesce("label_b", "b")
+        return named.filter(ends[0] != ends[1]).select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).distinct()
+
+    def add(self, links: DataFrame) -> None:
+        own = links.filter("a <> b") if self.table is None else self._mapped(links, self.table)
+        k = 0
+        own = self.scratch.write(own.select("a", "b"), f"{self.name}-{self.turn}-links-0")
+        while own.limit(1).count():
+            near = self.scratch.write(near_labels(own), f"{self.name}-{self.turn}-near-{k}")
+            k += 1
+            own = self.scratch.write(self._mapped(own, near), f"{self.name}-{self.turn}-links-{k}")
+            if self.table is not None:
+                moved = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
+                kept = self.table.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+                near = kept.union(near.join(self.table.select("node"), "node", "left_anti"))
+            self.table = self.scratch.write(near, f"{self.name}-{self.turn}-{k}")
+        self.turn += 1
+        if self.table is None:
+            self.table = self.scratch.write(links.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0), f"{self.name}-none")
+
+
 def _state(links: DataFrame) -> tuple[int, int]:
     row = links.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0)).alias("x")).first()
     return row["n"], row["x"]

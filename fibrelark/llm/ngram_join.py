@@ -14,7 +14,7 @@
 4. A group of near copies is connected without telling all its pairs: the trees are
    traversed in turns, and in all turns but the last a document tells at most one
    candidate of each traversal. What verified links connect is not compared again. The
-   first turns take, of each class, only the EARLY routing shingles least by hash, on
+   first turn takes, of each class, only the EARLY routing shingles least by hash, on
    which near copies mostly agree; the last two turns take all routes.
 5. Candidates are verified on the whole sets: 100 * overlap >= 80 * union.
 
@@ -40,21 +40,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fibrelark.llm.common import Scratch, batches, bytes_column, mix64
-from fibrelark.llm.components import components, near_labels
+from fibrelark.llm.components import Labels
 
 SHINGLE = 5
 LANES = 32  # of 64 bits each in a bitmap
 CHUNK = 512  # documents in one chunk
 LEAF = 8  # children of a node within a chunk
 FAN = 16  # children of a node above chunks
-EARLY = 4  # routing shingles of a class that the first turns take
-EARLY_TURNS = 2
+EARLY = 4  # routing shingles of a class that the first turn takes
 COMMON = 200_000  # shingles in the list of common ones: bounds what is broadcast
 SLICE = 8192  # pairs of bitmaps compared at once, which bounds a worker's memory
 REMEMBERED = 50_000  # pairs that a task does not tell twice
 REMEMBERED_CLASSES = 1_000_000
 PASS_SHINGLES = 1_000_000
-HEAD = np.uint64((1 << 64) // 6)  # hashes below this are the head of a set
 BROADCAST_IDS = 1_000_000  # ids of candidates are broadcast up to this number, joined by a shuffle beyond
 # A chunk's number: band of sizes, salt, place; chunks of near sizes are near in number.
 PLACES, SALTS = 1 << 20, 1 << 20
@@ -93,12 +91,6 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def _pack(hashes: np.ndarray) -> tuple[bytes, bytes]:
-    """Head and tail of a set, in order."""
-    cut = int(np.searchsorted(hashes, HEAD))
-    return hashes[:cut].tobytes(), hashes[cut:].tobytes()
-
-
 def _unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.uint64)
 
@@ -126,21 +118,20 @@ def _lanes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LANES)
 
 
-_SETS = "doc_id long, class_id long, n long, bits binary, head binary, tail binary"
+_SETS = "doc_id long, class_id long, n long, bits binary, hashes binary"
 
 
 def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # classes of this task, so that many copies bring their set once
     for batch in batches(parts):
-        classes, sizes, bits, heads, tails = [], [], [], [], []
+        classes, sizes, bits, sets = [], [], [], []
         for text in bytes_column(batch, "text"):
             hashes = shingle_set(text)
             sizes.append(len(hashes))
             if not len(hashes):
                 classes.append(None)
                 bits.append(None)
-                heads.append(None)
-                tails.append(None)
+                sets.append(None)
                 continue
             digest = int(mix64(hashes.sum(dtype=np.uint64, keepdims=True) + np.bitwise_xor.reduce(mix64(hashes)))[0]) >> 1
             classes.append(digest)
@@ -149,13 +140,11 @@ def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.clear()
             seen.add(digest)
             bits.append(_bitmap(hashes).tobytes() if first else None)
-            head, tail = _pack(hashes) if first else (None, None)
-            heads.append(head)
-            tails.append(tail)
+            sets.append(hashes.tobytes() if first else None)
         ids = [k for k in ("doc_id", "row_id") if k in batch.schema.names]
-        columns = [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())]
+        columns = [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(batch.schema.get_field_index(k)).cast(pa.int64()) for k in ids), *columns], names=[*ids, "class_id", "n", "bits", "head", "tail"]
+            [*(batch.column(batch.schema.get_field_index(k)).cast(pa.int64()) for k in ids), *columns], names=[*ids, "class_id", "n", "bits", "hashes"]
         )
 
 
@@ -169,8 +158,8 @@ def _often(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, n = [], 0
     for batch in batches(parts):
-        for head, tail in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.append(_unpack(head + tail))
+        for packed in batch.column(0).to_pylist():
+            held.append(_unpack(packed))
             n += len(held[-1])
             if n >= PASS_SHINGLES:
                 yield told(held)
@@ -208,7 +197,7 @@ def _routing(common: np.ndarray, rank: np.ndarray, salts: np.ndarray):  # noqa:
         for batch in batches(parts):
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                out = [route(c, n, _unpack(head + tail)) for c, n, head, tail in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True)]
+                out = [route(c, n, _unpack(packed)) for c, n, packed in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
     return run
@@ -255,23 +244,12 @@ def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(held, told_chunks)
 
 
-def _likely(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that the heads of both sets do not exclude: what is missing there already is missing from the overlap."""
-    for batch in batches(parts):
-        a, b, na, nb, x, y = (batch.column(k).to_pylist() for k in range(6))
-        keep = []
-        for n, m, one, two in zip(na, nb, x, y, strict=True):
-            one, two = _unpack(one), _unpack(two)
-            keep.append(min(n - len(one), m - len(two)) + _overlap(one, two) >= _least_overlap(n, m))
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(v, keep, strict=True) if k], pa.int64()) for v in (a, b)], names=["a", "b"])
-
-
 def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(parts):
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         links = []
-        for parts_of in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-            x, y = _unpack(parts_of[0] + parts_of[1]), _unpack(parts_of[2] + parts_of[3])
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = _unpack(x), _unpack(y)
             both = _overlap(x, y)
             links.append(100 * both >= 80 * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(v, links, strict=True) if k], pa.int64()) for v in (a, b)], names=["a", "b"])
@@ -523,7 +501,7 @@ class JaccardJoin:
 
     def _common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The common shingles in order of value, their rank in the routing order, and into how many parts each is dealt."""
-        counted = self.sets.filter("head is not null").select("head", "tail").mapInArrow(_often, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        counted = self.sets.filter("hashes is not null").select("hashes").mapInArrow(_often, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         often = self.scratch.write(counted.filter("n >= 16").orderBy(F.desc("n"), "h").limit(COMMON), "often", SET_ROWS)
         rows = sorted(((r["h"], r["n"]) for r in often.collect()), key=lambda r: (-r[1], r[0]))
         h, n = np.array(rows, np.int64).reshape(-1, 2).T
@@ -537,36 +515,29 @@ class JaccardJoin:
 
         Few ids go to the sets, many meet them by a shuffle.
         """
-        first = self.sets.filter("head is not null").select("class_id", *columns)
+        first = self.sets.filter("hashes is not null").select("class_id", *columns)
         ids = ids.select("id").distinct()
         small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         found = first.join(F.broadcast(ids) if small else ids, F.col("class_id") == F.col("id"), "left_semi")
         return found.dropDuplicates(["class_id"])
 
-    def _joined(self, pairs: DataFrame, name: str, *columns: str) -> DataFrame:
-        """Pairs with the columns of both sides, as a_... and b_...."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-        there = self.scratch.write(self._of(ids, *columns), name)
-        side = lambda s: there.select(F.col("class_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
-        return pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def _links(self, pairs: DataFrame, name: str, heads: bool) -> DataFrame:
-        """The pairs of classes that link, verified on the whole sets; where most will not, ``heads`` excludes before."""
+    def _links(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs of classes that link, verified on the whole sets."""
         scratch = self.scratch
         pairs = scratch.write(pairs, f"{name}-pairs")
-        if heads:
-            marked = self._joined(pairs, f"{name}-heads", "n", "head").select("a", "b", "a_n", "b_n", "a_head", "b_head")
-            pairs = scratch.write(marked.mapInArrow(_likely, "a long, b long"), f"{name}-near", SET_ROWS)
-        whole = self._joined(pairs, f"{name}-whole", "head", "tail").select("a", "b", "a_head", "a_tail", "b_head", "b_tail")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+        sets = scratch.write(self._of(ids, "hashes"), f"{name}-sets")
+        side = lambda s: sets.select(F.col("class_id").alias(s), F.col("hashes").alias(f"set_{s}"))
+        whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
         links = scratch.write(whole.mapInArrow(_verify, "a long, b long"), name, PAIR_ROWS)
-        for part in ("pairs", "heads", "near", "whole"):
+        for part in ("pairs", "sets"):
             scratch.drop(f"{name}-{part}")
         return links
 
     def _labels(self) -> DataFrame:
         """node and label of each class that links with another."""
         scratch = self.scratch
-        routed = self.sets.filter("head is not null").select("class_id", "n", "head", "tail").mapInArrow(
+        routed = self.sets.filter("hashes is not null").select("class_id", "n", "hashes").mapInArrow(
             _routing(*self._common()), "h long, salt long, class_id long, n int, pos int, common boolean, early boolean"
         )
         shared = scratch.write(
@@ -576,18 +547,15 @@ class JaccardJoin:
             "shared",
             2 * SET_ROWS,
         )
-        leaves = self._with_bits(shared.filter("early").drop("early", "common").withColumn("wide", F.lit(False)), "early")
-        links = labels = None
-        for turn in range(EARLY_TURNS + 2):
-            if turn == EARLY_TURNS:
-                leaves = self._with_bits(self._open(shared, labels), "leaves")
-                scratch.drop("shared")
-            last = turn > EARLY_TURNS
-            found = self._links(self._candidates(leaves, labels, None if last else turn), f"links-{turn}", heads=last)
-            links = found if links is None else links.union(found)
-            if not last:
-                labels = scratch.write(near_labels(links), f"labels-{turn}")
-        return scratch.write(components(links, scratch, "last"), "labels")
+        labels = Labels(scratch)
+        early = self._with_bits(shared.filter("early").drop("early", "common").withColumn("wide", F.lit(False)), "early")
+        labels.add(self._links(self._candidates(early, None, 0), "links-0"))
+        leaves = self._with_bits(self._open(shared, labels.table), "leaves")
+        for name in ("shared", "early"):
+            scratch.drop(name)
+        labels.add(self._links(self._candidates(leaves, labels.table, 1), "links-1"))
+        labels.add(self._links(self._candidates(leaves, labels.table, None), "links-2"))
+        return labels.table
 
     def _named(self, rows: DataFrame, low: Column, name: str) -> DataFrame:
         """own, a class, and the least ``low`` of the rows of its component."""

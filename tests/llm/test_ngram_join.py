@@ -7,7 +7,7 @@ import pytest
 
 from fibrelark.llm import ngram_join
 from fibrelark.llm.common import Scratch
-from fibrelark.llm.components import components
+from fibrelark.llm.components import Labels, components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,6 +88,25 @@ def test_components_of_a_long_chain(spark):
     assert out == dict.fromkeys(range(61), 0)
 
 
+def test_labels_of_links_that_come_in_parts(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k * 7 % 61 + 1000, (k * 7 + 7) % 61 + 1000) for k in range(60)]
+    labels = Labels(Scratch(spark, "labels"))
+    labels.add(spark.createDataFrame(links[:0], "a long, b long"))
+    assert labels.table.count() == 0
+    for start in range(0, len(links), 107):
+        labels.add(spark.createDataFrame(links[start : start + 107], "a long, b long"))
+    got = {r.node: r.label for r in labels.table.collect()}
+    low = {k: k for pair in links for k in pair}
+    for _ in range(100):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    met = {k for a, b in links if a != b for k in (a, b)}
+    assert got.keys() == met
+    groups = lambda of: sorted(sorted(k for k in met if of[k] == x) for x in {of[k] for k in met})
+    assert groups(got) == groups(low)
+
+
 def test_one_row_of_each_component_stays(spark):
     same, near = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(58)) + " x y"
     rows = [(7, same, 0), (7, same, 1), (7, same, 2), (None, "a b c d e f", 3), (None, "a b c d e f", 4), (2, near, 5), (7, "the only one of its kind", 6)]
