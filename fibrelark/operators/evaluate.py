@@ -201,7 +201,7 @@ class Evaluator:
         """
         ids = policies.select("policy_id")
         tag = lambda c: F.concat_ws("|", F.col("policy_id"), F.col(c)).alias(c)
-        whole = self.scope(incidents.drop("policy_id"), truth, telemetry, start, end, check=False)
+        whole = self.scope(incidents.drop("policy_id"), truth, telemetry, start, end)
         chances = self.opportunities(whole.faults, whole.available)
 
         def each(table: DataFrame) -> DataFrame:

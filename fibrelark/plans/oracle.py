@@ -118,6 +118,36 @@ al AS (SELECT * FROM incidents WHERE start_time >= {_CAL} AND start_time < {_VAL
 fi AS (SELECT * FROM faults WHERE onset_time >= {_CAL} AND end_time <= {_VAL}),
 fo AS (SELECT * FROM faults WHERE onset_time < {_VAL} AND end_time > {_CAL} AND fault_id NOT IN (SELECT fault_id FROM fi))"""
 
+# Stand-in faults of an entity never overlap, so an alert lies in one at most and the first alert in a fault is its match.
+_OUTCOMES = f"""
+av AS (SELECT * FROM grid WHERE tk >= {_CAL} AND tk < {_VAL}),
+mt AS (SELECT fault_id, arg_min(incident_id, (start_time, incident_id)) AS incident_id, min(start_time) AS start_time FROM al JOIN fi f
+  ON al.entity_id = f.entity_id AND f.onset_time <= al.start_time AND al.start_time < f.end_time GROUP BY 1),
+cw AS (SELECT f.fault_id, g.tk, g.v, lag(g.tk) OVER (PARTITION BY f.fault_id ORDER BY g.tk) AS b FROM fi f JOIN av g ON g.entity_id = f.entity_id
+  AND g.tk >= CASE WHEN fault_type = 'variance_shift' THEN onset_time ELSE observable_onset_time END AND g.tk <= impact_time - 7200000000),
+ci AS (SELECT *, sum(CASE WHEN v IS NULL OR coalesce(tk - b > 1.5 * {_H}, true) THEN 1 ELSE 0 END) OVER (PARTITION BY fault_id ORDER BY tk) AS k FROM cw),
+ch AS (SELECT DISTINCT fault_id FROM (SELECT fault_id, k FROM ci WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3)),
+oc AS (SELECT fault_id, fault_type, mt.incident_id IS NOT NULL AS detected, ch.fault_id IS NOT NULL AS opportunity,
+    CASE WHEN fault_type = 'variance_shift' THEN 'onset_time' ELSE 'observable_onset_time' END AS opportunity_reference,
+    coalesce(start_time < impact_time, false) AS pre_impact, impact_time IS NOT NULL AS impacting, (impact_time - start_time) / 60e6 AS lead_minutes,
+    coalesce(start_time < impact_time AND (impact_time - start_time) / 60e6 >= 120, false) AS minimum_lead,
+    (start_time - CASE WHEN fault_type = 'variance_shift' THEN onset_time ELSE observable_onset_time END) / 60e6 AS delay_minutes,
+    CASE WHEN fault_type = 'variance_shift' THEN 'onset_time' ELSE 'observable_onset_time' END AS delay_reference
+  FROM fi LEFT JOIN mt USING (fault_id) LEFT JOIN ch USING (fault_id)),
+cl AS (SELECT incident_id, CASE WHEN incident_id IN (SELECT incident_id FROM mt) THEN 'matched'
+  WHEN EXISTS (SELECT 1 FROM fi f WHERE f.entity_id = al.entity_id AND f.onset_time <= al.start_time AND al.start_time < f.end_time) THEN 'duplicate'
+  WHEN EXISTS (SELECT 1 FROM fo f WHERE f.entity_id = al.entity_id AND f.onset_time <= al.start_time AND al.start_time < f.end_time) THEN 'boundary' ELSE 'unmatched' END AS class FROM al)"""
+
+_BY_REFERENCE = ", ".join(
+    f"{name}_warning_opportunities, {name}_pre_impact_detected, round({name}_pre_impact_detected / nullif({name}_warning_opportunities, 0), 6) AS {name}_pre_impact_recall"
+    for name in ("observable", "physical_onset")
+)
+_COUNT_REFERENCE = ", ".join(
+    f"count(*) FILTER (opportunity AND opportunity_reference = '{column}') AS {name}_warning_opportunities, "
+    f"count(*) FILTER (opportunity AND pre_impact AND opportunity_reference = '{column}') AS {name}_pre_impact_detected"
+    for name, column in (("observable", "observable_onset_time"), ("physical_onset", "onset_time"))
+)
+
 _CORR = "CASE WHEN count({x}) >= {least} AND min({x}) < max({x}) AND min({y}) < max({y}) THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END"
 
 
@@ -221,6 +251,29 @@ w AS (SELECT f.fault_id, g.tk, g.v, lag(g.tk) OVER (PARTITION BY f.fault_id ORDE
   AND g.tk >= CASE WHEN fault_type = 'variance_shift' THEN onset_time ELSE observable_onset_time END AND g.tk <= impact_time - 7200000000),
 i AS (SELECT *, sum(CASE WHEN v IS NULL OR coalesce(tk - b > 1.5 * {_H}, true) THEN 1 ELSE 0 END) OVER (PARTITION BY fault_id ORDER BY tk) AS k FROM w)
 SELECT DISTINCT fault_id FROM (SELECT fault_id, k FROM i WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3)""",
+    "q35_match_cardinality": f"""
+WITH RECURSIVE {_MACHINE},{_FAULTS} SELECT count(DISTINCT fault_id) AS matched FROM incidents a JOIN faults f
+ON a.entity_id = f.entity_id AND onset_time <= start_time AND start_time < f.end_time""",
+    "q36_fault_outcomes": f"""
+WITH RECURSIVE {_MACHINE},{_FAULTS},{_SCOPE},{_OUTCOMES} SELECT * REPLACE (round(lead_minutes, 6) AS lead_minutes, round(delay_minutes, 6) AS delay_minutes) FROM oc""",
+    "q37_metrics_block": f"""
+WITH RECURSIVE {_MACHINE},{_FAULTS},{_SCOPE},{_OUTCOMES},
+f AS (SELECT count(*) AS faults, count(*) FILTER (detected) AS detected, count(*) FILTER (opportunity) AS warning_opportunities,
+    count(*) FILTER (opportunity AND pre_impact) AS pre_impact_detected, count(*) FILTER (opportunity AND minimum_lead) AS minimum_lead_detected,
+    count(*) FILTER (impacting) AS impacting_faults, count(*) FILTER (impacting AND pre_impact) AS all_early,
+    median(delay_minutes) FILTER (delay_reference = 'observable_onset_time') AS seen_delay, median(delay_minutes) FILTER (delay_reference = 'onset_time') AS shift_delay, {_COUNT_REFERENCE}
+  FROM oc),
+a AS (SELECT count(*) AS incidents, count(*) FILTER (class = 'unmatched') AS unmatched_incidents, count(*) FILTER (class = 'duplicate') AS duplicate_incidents,
+    count(*) FILTER (class = 'boundary') AS boundary_incidents FROM cl),
+r AS (SELECT count(*) * 60 / 1440 AS days, avg(CASE WHEN v IS NULL THEN 0.0 ELSE 1.0 END) AS coverage FROM av),
+e AS (SELECT count(*) AS boundary_faults FROM fo)
+SELECT faults, detected, faults - detected AS missed, warning_opportunities, faults - warning_opportunities AS faults_without_warning_opportunity, pre_impact_detected,
+  round(pre_impact_detected / nullif(warning_opportunities, 0), 6) AS pre_impact_recall, 120.0::DOUBLE AS minimum_lead_minutes, minimum_lead_detected,
+  round(minimum_lead_detected / nullif(warning_opportunities, 0), 6) AS minimum_lead_recall, impacting_faults, round(all_early / nullif(impacting_faults, 0), 6) AS pre_impact_recall_all_impacting,
+  unmatched_incidents, duplicate_incidents, round(1000.0 * (unmatched_incidents + duplicate_incidents) / nullif(days, 0), 6)::DOUBLE AS nuisance_per_1000_entity_days,
+  round(days, 6)::DOUBLE AS monitored_entity_days, round(coverage, 6)::DOUBLE AS observation_coverage, round(seen_delay, 6) AS median_detection_delay_minutes,
+  round(shift_delay, 6) AS median_variance_onset_delay_minutes, incidents, boundary_incidents, boundary_faults, {_BY_REFERENCE}
+FROM f, a, r, e""",
     "q39_observation_quality": f"""
 WITH {_GRID}, h AS (SELECT *, v IS NOT NULL AS o FROM grid),
 i AS (SELECT *, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER w AS k1, sum(CASE WHEN o THEN 1 ELSE 0 END) OVER w AS k2, count(*) OVER r AS n, avg(CASE WHEN o THEN 1.0 ELSE 0.0 END) OVER r AS f,
@@ -274,6 +327,27 @@ WITH c AS (
   UNION ALL SELECT 'discount_out_of_range', count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 1)
 SELECT "check", bad, bad = 0 AS holds FROM c""",
     "q50_topk_and_sample": "SELECT event_id, event_type, round(value, 6) AS value FROM events ORDER BY events.value DESC, event_id LIMIT 20",
+    "q57_least_squares": """
+WITH m AS (SELECT l_returnflag AS f, count(*) AS n, avg(l_extendedprice) AS y, avg(l_quantity) AS q, avg(l_discount) AS d, covar_pop(l_extendedprice, l_quantity) AS yq,
+    covar_pop(l_extendedprice, l_discount) AS yd, var_pop(l_quantity) AS qq, var_pop(l_discount) AS dd, covar_pop(l_quantity, l_discount) AS qd FROM lineitem GROUP BY 1),
+c AS (SELECT *, (yq * dd - yd * qd) / (qq * dd - qd * qd) AS b1, (yd * qq - yq * qd) / (qq * dd - qd * qd) AS b2 FROM m),
+b AS (SELECT *, y - b1 * q - b2 * d AS b0 FROM c)
+SELECT l_returnflag, any_value(n) AS n, round(any_value(b0), 2) AS b0, round(any_value(b1), 2) AS b1, round(any_value(b2), 2) AS b2,
+  round(sqrt(avg(pow(l_extendedprice - b0 - b1 * l_quantity - b2 * l_discount, 2))), 2) AS rmse FROM lineitem JOIN b ON l_returnflag = f GROUP BY 1""",
+    "q58_outcome_summary": f"""
+WITH RECURSIVE {_MACHINE},{_FAULTS},{_SCOPE},{_OUTCOMES} SELECT fault_type, count(*) AS faults, count(*) FILTER (detected) AS detected,
+  count(*) FILTER (opportunity) AS opportunities, round(median(delay_minutes), 6) AS median_delay_minutes FROM oc GROUP BY 1""",
+    "q59_ranked_policies": """
+SELECT * FROM (VALUES ('isolation_forest', 2::BIGINT, 3::BIGINT, 0.5::DOUBLE), ('isolation_forest', 2, 6, 0.5), ('statistical', 2, 3, 0.5), ('combined', 2, 3, NULL), ('combined', 3, 3, 0.9))
+  r(detector, opening_intervals, closing_intervals, minimum_lead_recall)""",
+    "q66_development_faults": f"""
+WITH {_GRID},{_FAULTS}, t AS (SELECT * FROM faults WHERE onset_time < {_VAL} AND end_time <= {_VAL}),
+w AS (SELECT t.fault_id, g.tk, g.v, lag(g.tk) OVER (PARTITION BY t.fault_id ORDER BY g.tk) AS b FROM t JOIN grid g ON g.entity_id = t.entity_id
+  AND g.tk >= observable_onset_time AND g.tk <= impact_time - 7200000000),
+i AS (SELECT *, sum(CASE WHEN v IS NULL OR coalesce(tk - b <> {_H}, true) THEN 1 ELSE 0 END) OVER (PARTITION BY fault_id ORDER BY tk) AS k FROM w),
+c AS (SELECT DISTINCT fault_id AS chance FROM (SELECT fault_id, k FROM i WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3))
+SELECT t.*, round((end_time - onset_time) / 3600e6, 6) AS duration_hours, round((impact_time - observable_onset_time) / 60e6, 6) AS warning_minutes,
+  chance IS NOT NULL AS warning_opportunity_proxy FROM t LEFT JOIN c ON chance = fault_id""",
     "q52_topology": """
 SELECT 'ONT-' || lpad(i::VARCHAR, 3, '0') AS entity_id, 'OLT-' || lpad((i // 64)::VARCHAR, 3, '0') AS olt_id, 'PON-' || lpad((i // 16)::VARCHAR, 3, '0') AS pon_port_id,
   'SPLITTER-' || lpad((i // 8)::VARCHAR, 3, '0') AS splitter_id FROM range(96) r(i)""",

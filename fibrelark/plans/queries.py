@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from fibrelark.functions.columns import count_or_null, day_phase, fec_probabilities, finite, micros, milliwatt_to_dbm, ratio_or_null
 from fibrelark.operators import diagnostics, explain
 from fibrelark.operators.channels import measurement_channels
-from fibrelark.operators.evaluate import Evaluator, policy_table, ranked
+from fibrelark.operators.evaluate import Evaluator, policy_table, ranked, tune
 from fibrelark.operators.features import summarise
 from fibrelark.operators.forest import complete_rows, fit_forest, forest_scores, seeded_sample
 from fibrelark.operators.grid import resample
@@ -26,7 +26,7 @@ from fibrelark.operators.splits import TemporalSplit
 from fibrelark.plans import views as v
 from fibrelark.schema import METRICS, fec_metric
 from fibrelark.sources.adapter import TelemetryAdapter
-from fibrelark.sources.simulate import GeneratorConfig, simulate, structural_checks, topology
+from fibrelark.sources.simulate import ORIGIN, GeneratorConfig, generated_checks, simulate, structural_checks, topology
 
 SPLIT = TemporalSplit(v.TRAIN_END, v.CALIBRATION_END, v.VALIDATION_END, v.END)
 
@@ -189,7 +189,7 @@ EVALUATOR = Evaluator(interval_minutes=60, minimum_lead_minutes=120.0, opportuni
 
 
 def _scope(spark, sf_dir):
-    return EVALUATOR.scope(v.incidents(spark, sf_dir), v.faults(spark, sf_dir), v.grid(spark, sf_dir).drop("observed"), v.CALIBRATION_END, v.VALIDATION_END, check=False)
+    return EVALUATOR.scope(v.incidents(spark, sf_dir), v.faults(spark, sf_dir), v.grid(spark, sf_dir).drop("observed"), v.CALIBRATION_END, v.VALIDATION_END)
 
 
 def q32_anti_boundary(spark, sf_dir):
@@ -209,7 +209,7 @@ def q34_opportunity_runs(spark, sf_dir):
 
 
 def q35_match_cardinality(spark, sf_dir):
-    pairs = match_events(v.incidents(spark, sf_dir), v.faults(spark, sf_dir), check=False)
+    pairs = match_events(v.incidents(spark, sf_dir), v.faults(spark, sf_dir))
     return pairs.agg(F.count(F.lit(1)).alias("matched"))
 
 
@@ -219,7 +219,7 @@ def q36_fault_outcomes(spark, sf_dir):
 
 
 def q37_metrics_block(spark, sf_dir):
-    metrics, _ = EVALUATOR.evaluate(v.incidents(spark, sf_dir), v.faults(spark, sf_dir), v.grid(spark, sf_dir).drop("observed"), v.CALIBRATION_END, v.VALIDATION_END, check=False)
+    metrics, _ = EVALUATOR.evaluate(v.incidents(spark, sf_dir), v.faults(spark, sf_dir), v.grid(spark, sf_dir).drop("observed"), v.CALIBRATION_END, v.VALIDATION_END)
     return metrics
 
 
@@ -267,7 +267,7 @@ def q44_acf_lags(spark, sf_dir):
 
 
 def q45_holdout_r2(spark, sf_dir):
-    return diagnostics.canonical_statistics(v.grid(spark, sf_dir).drop("observed"), 60).select("entity_id", "observed", "mean", "std", "lag1", "lag_daily", "daily_amplitude", "daily_holdout_r2")
+    return diagnostics.canonical_statistics(v.grid(spark, sf_dir).drop("observed"), 60).select("entity_id", "observed", "mean", "std", "lag1", "lag_daily", "daily_amplitude", "daily_holdout_r2", "daily_weekly_holdout_r2")
 
 
 def q46_hourly_profile(spark, sf_dir):
@@ -354,7 +354,8 @@ def q57_least_squares(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem")
     fits = least_squares(rows, ["l_returnflag"], "l_extendedprice", terms)
     errors = rows.join(F.broadcast(fits), "l_returnflag").groupBy("l_returnflag").agg(F.avg(F.pow(F.col("l_extendedprice") - fitted(terms), 2)).alias("mse"))
-    return fits.select("l_returnflag", "n", *[F.element_at("beta", k + 1).alias(f"b{k}") for k in range(3)]).join(errors, "l_returnflag").select("l_returnflag", "n", "b0", "b1", "b2", F.sqrt("mse").alias("rmse"))
+    named = fits.select("l_returnflag", "n", *[F.element_at("beta", k + 1).alias(f"b{k}") for k in range(3)]).join(errors, "l_returnflag")
+    return named.select("l_returnflag", "n", *[F.round(c, 2).alias(c) for c in ("b0", "b1", "b2")], F.round(F.sqrt("mse"), 2).alias("rmse"))
 
 
 def q58_outcome_summary(spark, sf_dir):
@@ -385,6 +386,42 @@ def q62_feature_availability(spark, sf_dir):
     return diagnostics.feature_availability(rows, {"level": ["level"], "trend": ["level", "slope"], "all": ["level", "slope", "cusum"]})
 
 
+def q64_tune_policies(spark, sf_dir):
+    """The whole comparison of detectors and policies: incidents, matching and metrics of every policy, ranked."""
+    scores = v.scored(spark, sf_dir).select("entity_id", "timestamp", F.col("score").alias("statistical"))
+    scores = scores.withColumns({"isolation_forest": F.pow(F.col("statistical"), 2), "combined": F.when(F.hour("timestamp") != 7, F.col("statistical"))}).persist()
+    return tune(
+        scores, v.faults(spark, sf_dir), v.grid(spark, sf_dir).drop("observed"), v.CALIBRATION_END, v.VALIDATION_END, EVALUATOR, v.POLICY, [1, 2], [3], 5.0
+    )
+
+
+def q65_healthy_statistics(spark, sf_dir):
+    native = v.grid(spark, sf_dir).select(F.col("timestamp").alias("time"), F.col("entity_id").alias("device"), F.lit(0.0).alias("olt_tx_dbm"), (-F.col("value")).alias("rx_dbm"))
+    return diagnostics.healthy_statistics(native, 60, 40.0, 3.0, 6.0, 0.5)
+
+
+def q66_development_faults(spark, sf_dir):
+    native = v.grid(spark, sf_dir).select(F.col("timestamp").alias("time"), F.col("entity_id").alias("device"), F.col("value").alias("rx_dbm"))
+    return diagnostics.development_faults(v.faults(spark, sf_dir), native, v.VALIDATION_END, 60, 120.0, 3)
+
+
+def q67_generated_checks(spark, sf_dir):
+    native, truth = simulate(spark, SMALL_FLEET)
+    return generated_checks(native, truth, topology(spark, SMALL_FLEET), SMALL_FLEET, ORIGIN)
+
+
+def q68_correlation_views(spark, sf_dir):
+    """Correlations of every pair of metrics, raw and without the daily pattern."""
+    grid = v.grid(spark, sf_dir).drop("observed")
+    other = grid.withColumn("metric_name", F.lit("upstream_rx_power_dbm")).withColumn("value", F.col("value") * 0.5 + F.hour("timestamp"))
+    return diagnostics.dependence_reports(grid.unionByName(other), 60, ["rx_power_dbm", "upstream_rx_power_dbm"])[0]
+
+
+def q69_seeded_sample(spark, sf_dir):
+    """A sample that a seeded order of the keys decides."""
+    return seeded_sample(v.events(spark, sf_dir).select("event_id", "event_type", "value"), ["event_id"], 16, 42)
+
+
 def q63_reason_counts(spark, sf_dir):
     return v.incidents(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

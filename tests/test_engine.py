@@ -22,6 +22,7 @@ from fibrelark.operators.scoring import combined, fit_normalizer, normalize, nor
 from fibrelark.operators.splits import TemporalSplit, split_of
 from fibrelark.schema import ContractError, fec_metric
 from fibrelark.sources.adapter import TelemetryAdapter, require_downstream_rx, synthetic_adapter
+from fibrelark.sources.simulate import ORIGIN, GeneratorConfig, generated_checks, simulate, topology
 
 T0 = datetime(2025, 1, 1, tzinfo=UTC)
 RX = "rx_power_dbm"
@@ -154,6 +155,48 @@ def test_feature_sets_are_nested(spark):
     assert rows[20]["upstream_rx_level"] == pytest.approx(rows[20]["level"])
 
 
+def test_columns_keep_the_fixed_order():
+    assert RX_FEATURES[:6] == ["cov", "autocorrelation", "cusum", "entropy", "acceleration", "slope"]
+    assert RX_FEATURES[6:] == ["level", "variability", "regression_slope", "long_level", "short_minus_long", "below_baseline_fraction"]
+    with pytest.raises(ContractError, match="three rows"):
+        FeatureSpec(window=2)
+
+
+def test_feature_table_is_joined_one_to_one(spark):
+    base = series(spark, [float(k % 7) for k in range(15)])
+    both = base.unionByName(base.withColumn("channel", F.lit("upstream_rx")))
+    for channel in ("rx", "upstream_rx"):
+        with pytest.raises(Exception, match="repeated rows of a channel"):
+            feature_table(both.unionByName(base.withColumn("channel", F.lit(channel)).limit(1)), SPEC, "both_rx").collect()
+
+
+def test_the_latch_refuses_replays_and_scores_out_of_range(spark):
+    policy = Policy(high=0.95, low=0.2, opening_intervals=3, closing_intervals=2)
+    rows = [(at(5 * k), "a", s) for k, s in enumerate([0.99, 0.5, None, 0.1])]
+    of = lambda more: latch(spark.createDataFrame(rows + more, "timestamp timestamp, entity_id string, score double"), policy)
+    assert of([(at(20), "a", float("nan"))]).collect() == []
+    with pytest.raises(Exception, match="replayed"):
+        of([(at(5), "a", 0.3)]).collect()
+    for score in (1.5, -0.1):
+        with pytest.raises(Exception, match="0..1"):
+            of([(at(20), "a", score)]).collect()
+
+
+def test_what_a_generator_promises_is_checked(spark):
+    config = GeneratorConfig(entities=2, days=8, interval_minutes=60)
+    native, truth = simulate(spark, config)
+    native, truth, units = native.cache(), truth.cache(), topology(spark, config)
+    check = lambda n, t: {r.check: r.holds for r in generated_checks(n, t, units, config, ORIGIN).collect()}
+    assert all(check(native, truth).values())
+    last = native.agg(F.max("time")).first()[0]
+    broken = check(native.filter((F.col("time") < F.lit(last)) | (F.col("device") != "ONT-000")), truth.union(truth.limit(1)))
+    assert not broken["configured_rows_per_entity"] and not broken["unique_fault_ids"] and broken["ordered_fixed_cadence"] and broken["configured_entity_count"]
+    moved = check(native.withColumn("time", F.expr("time + interval 1 minute")), truth.withColumn("observable_onset_time", F.col("end_time")))
+    assert not moved["ordered_fixed_cadence"] and not moved["observable_onset_inside_fault"]
+    assert not check(native.filter("device = 'ONT-000'"), truth)["configured_entity_count"]
+    assert not check(native.withColumn("time", F.expr("if(device = 'ONT-000' and minute(time) = 0 and hour(time) = 5, null, time)")), truth)["timestamps_present"]
+
+
 def test_references_recover_a_daily_cycle(spark):
     hours = np.arange(0, 24 * 4, 0.5)
     y = 10 + 2 * np.sin(2 * np.pi * hours / 24) - 1 * np.cos(2 * np.pi * hours / 24)
