@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from fibrelark.functions.columns import day_phase, finite
 from fibrelark.operators.grid import MINUTE, complete
+from fibrelark.operators.matching import day_of, on_days
 from fibrelark.operators.regression import correlation, fitted, least_squares, spearman
 from fibrelark.operators.segments import last_seen, run_length
 
@@ -98,8 +99,9 @@ def development_faults(truth: DataFrame, native: DataFrame, end: datetime, inter
     faults = truth.filter((F.col("onset_time") < F.lit(end)) & (F.col("end_time") <= F.lit(end)))
     until = F.timestamp_micros(F.unix_micros("impact_time") - F.lit(int(minimum_lead_minutes * MINUTE)))
     spans = faults.select("fault_id", F.col("entity_id").alias("e"), F.col("observable_onset_time").alias("from"), until.alias("until"))
+    spans = on_days(spans, "from", "until")
     seen = native.select(F.col("device").alias("entity_id"), F.col("time").alias("timestamp"), finite(F.col("rx_dbm")).alias("value"))
-    view = seen.join(spans, (F.col("entity_id") == F.col("e")) & (F.col("timestamp") >= F.col("from")) & (F.col("timestamp") <= F.col("until")))
+    view = seen.join(spans, (F.col("entity_id") == F.col("e")) & (day_of("timestamp") == F.col("__day")) & (F.col("timestamp") >= F.col("from")) & (F.col("timestamp") <= F.col("until")))
     us = F.unix_micros("timestamp")
     order = Window.partitionBy("fault_id").orderBy("timestamp")
     view = view.withColumn("__gap", F.coalesce(us - F.lag(us).over(order) != F.lit(interval_minutes * MINUTE), F.lit(True)))
@@ -119,7 +121,8 @@ def fault_contrasts(native: DataFrame, faults: DataFrame) -> DataFrame:
     """The day before each fault against the fault: medians, low tail, spread, missing shares; one range join."""
     rows = native.select(F.col("device").alias("d"), F.col("time").alias("t"), finite(F.col("rx_dbm")).alias("v"))
     f = faults.select("fault_id", "fault_type", "entity_id", "onset_time", "end_time").withColumn("from", F.expr("onset_time - INTERVAL 1 DAY"))
-    joined = f.join(rows, (F.col("entity_id") == F.col("d")) & (F.col("t") >= F.col("from")) & (F.col("t") < F.col("end_time")), "left")
+    f = on_days(f, "from", "end_time")
+    joined = f.join(rows, (F.col("entity_id") == F.col("d")) & (day_of("t") == F.col("__day")) & (F.col("t") >= F.col("from")) & (F.col("t") < F.col("end_time")), "left")
     before, during = F.col("t") < F.col("onset_time"), F.col("t") >= F.col("onset_time")
     b, d = F.when(before, F.col("v")), F.when(during, F.col("v"))
     sums = joined.groupBy("fault_id", "fault_type").agg(

@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fibrelark.schema import ContractError
 
 
+def day_of(time: str) -> Column:
+    return F.floor(F.unix_micros(time) / F.lit(86_400_000_000)).cast("long")
+
+
+def on_days(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each day that a span touches, with its number ``__day``: the second key of range joins.
+
+    Times meet the spans of their own day only, not all spans of their entity.
+    """
+    last = F.greatest(day_of(start), day_of(end))
+    return spans.withColumn("__day", F.explode(F.sequence(day_of(start), last)))
+
+
 def eligible(alerts: DataFrame, faults: DataFrame) -> DataFrame:
     """Pairs of an alert and a fault of its entity that holds the alert's start: onset <= start < end."""
-    a, f = alerts.alias("a"), faults.alias("f")
-    inside = (F.col("a.entity_id") == F.col("f.entity_id")) & (F.col("f.onset_time") <= F.col("a.start_time")) & (F.col("a.start_time") < F.col("f.end_time"))
+    a = alerts.withColumn("__day", day_of("start_time")).alias("a")
+    f = on_days(faults, "onset_time", "end_time").alias("f")
+    inside = (F.col("a.entity_id") == F.col("f.entity_id")) & (F.col("a.__day") == F.col("f.__day"))
+    inside &= (F.col("f.onset_time") <= F.col("a.start_time")) & (F.col("a.start_time") < F.col("f.end_time"))
     return a.join(f, inside).select("a.entity_id", "a.incident_id", "a.start_time", "f.fault_id", "f.onset_time", "f.end_time")
 
 
