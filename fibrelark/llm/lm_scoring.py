@@ -91,17 +91,19 @@ def _processor(path: str) -> sentencepiece.SentencePieceProcessor:
     return _PIECES[path]
 
 
-Trie = dict[str, tuple[int, float] | None]
+# What follows a character: further characters, and the id (-1: no string ends here) and value of the string so far.
+Trie = dict[str, tuple["Trie", int, float]]
 
 
 def trie_of(strings: dict[str, tuple[int, float]]) -> Trie:
-    """Every beginning of a string is there, with None if it is no string itself."""
-    trie: Trie = {}
-    for entry, value in strings.items():
-        for k in range(1, len(entry)):
-            trie.setdefault(entry[:k], None)
-        trie[entry] = value
-    return trie
+    root: Trie = {}
+    for entry, (i, value) in sorted(strings.items()):  # beginnings come before what goes on from them
+        here = root
+        for k, character in enumerate(entry, 1):
+            if character not in here:
+                here[character] = ({}, i, value) if k == len(entry) else ({}, -1, 0.0)
+            here = here[character][0]
+    return root
 
 
 Arc = tuple[int, int, int | list[int], float]  # start, end, string or bytes, log probability
@@ -115,16 +117,16 @@ def arcs_of(text: str, trie: Trie, bytes_of: list[tuple[int, float]]) -> list[Ar
     for i in range(size):
         if not reached[i]:
             continue
-        single = False
-        for j in range(i + 1, size + 1):
-            part = text[i:j]
-            if part not in trie:
+        single, here = False, trie
+        for j in range(i, size):
+            node = here.get(text[j])
+            if node is None:
                 break
-            found = trie[part]
-            if found is not None:
-                single = single or j == i + 1
-                arcs.append((i, j, *found))
-                reached[j] = True
+            here, what, value = node
+            if what >= 0:
+                single = single or j == i
+                arcs.append((i, j + 1, what, value))
+                reached[j + 1] = True
         if not single:  # the character alone, by its bytes
             spelt = [bytes_of[b] for b in text[i].encode("utf-8", "surrogatepass")]
             arcs.append((i, i + 1, [b for b, _ in spelt], sum([v for _, v in spelt])))
@@ -142,7 +144,7 @@ class Expectation:
 
     def __init__(self, strings: dict[str, tuple[int, float]], bytes_of: list[tuple[int, float]], size: int) -> None:
         self.trie, self.bytes_of = trie_of(strings), bytes_of
-        self.chances = {k: v and (v[0], math.exp(v[1])) for k, v in self.trie.items()}
+        self.chances = trie_of({entry: (i, math.exp(value)) for entry, (i, value) in strings.items()})
         self.uses = [0.0] * size
 
     def add(self, word: str, n: float) -> None:
@@ -159,17 +161,17 @@ class Expectation:
             here = forward[i]
             if here == 0.0:
                 continue
-            single = False
-            for j in range(i + 1, size + 1):
-                part = text[i:j]
-                if part not in chances:
+            single, after = False, chances
+            for j in range(i, size):
+                node = after.get(text[j])
+                if node is None:
                     break
-                found = chances[part]
-                if found is not None:
-                    single = single or j == i + 1
-                    along = here * found[1]
-                    forward[j] += along
-                    add((i, j, found[0], along))
+                after, what, chance = node
+                if what >= 0:
+                    single = single or j == i
+                    along = here * chance
+                    forward[j + 1] += along
+                    add((i, j + 1, what, along))
             if not single:  # the character alone, by its bytes
                 spelt = [self.bytes_of[b] for b in text[i].encode("utf-8", "surrogatepass")]
                 along = here * math.exp(sum([v for _, v in spelt]))
@@ -216,9 +218,8 @@ class Lattice:
     """Marginal probability of a word over all segmentations into vocabulary strings."""
 
     def __init__(self, scores: dict[str, float], byte_scores: list[float]) -> None:
-        self.longest = max(map(len, scores), default=1)
         self.byte_scores = byte_scores
-        self.trie: dict[str, float | None] = {k: v and v[1] for k, v in trie_of({k: (0, v) for k, v in scores.items()}).items()}
+        self.trie = trie_of({entry: (0, value) for entry, value in scores.items()})
 
     def log_probability(self, word: str) -> float:
         """Natural logarithm; the forward recursion over character positions."""
@@ -238,18 +239,18 @@ class Lattice:
                 else:
                     most = max(arcs)
                     here = most + log(sum([exp(x - most) for x in arcs]))
-            single = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                part = text[i:j]
-                if part not in trie:
+            single, after = False, trie
+            for j in range(i, n):
+                node = after.get(text[j])
+                if node is None:
                     break
-                score = trie[part]
-                if score is not None:
-                    single = single or j == i + 1
-                    if incoming[j] is None:
-                        incoming[j] = [here + score]
+                after, what, score = node
+                if what >= 0:
+                    single = single or j == i
+                    if (arcs := incoming[j + 1]) is None:
+                        incoming[j + 1] = [here + score]
                     else:
-                        incoming[j].append(here + score)
+                        arcs.append(here + score)
             if not single:  # the character alone, by its bytes
                 spelt = here + sum(self.byte_scores[b] for b in text[i].encode("utf-8", "surrogatepass"))
                 if incoming[i + 1] is None:
