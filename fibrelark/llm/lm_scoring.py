@@ -324,30 +324,30 @@ def _documents(frequent):  # noqa: ANN001, ANN202
     blank), different for each document, so that the join spreads them.
     """
 
+    names = [x.split()[0] for x in _ROWS.split(", ")]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
         for batch in batches(parts):
-            columns: list[list] = [[] for _ in range(8)]
-            add = [c.append for c in columns]
-            for row_id, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_column(batch, "text"), strict=True):
+            row_ids, doc_ids = batch.column(0).to_numpy(), batch.column(1)
+            rare: list[bytes] = []
+            times: list[int] = []
+            sums: list[tuple[int, int, int, float, float]] = []  # rare words, tokens, known, base, score
+            for text in bytes_column(batch, "text"):
                 words = Counter(tokens(text))
-                base = score = 0.0
-                n_known = total = 0
-                for word, tf in words.items():
-                    total += tf
-                    entry = known.get(word)
-                    if entry is None:
-                        for put, value in zip(add, (row_id, None, word, tf, 0, 0, 0.0, 0.0), strict=True):
-                            put(value)
-                    else:
-                        n_known += tf
-                        base += tf * entry[0]
-                        score += tf * entry[1]
-                for put, value in zip(add, (row_id, doc_id, b" %d" % row_id, 0, total, n_known, base, score), strict=True):
-                    put(value)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            names = [x.split()[0] for x in _ROWS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                own = [w for w in words if w not in known]
+                rare += own
+                times += map(words.__getitem__, own)
+                often = [(words[w], *known[w]) for w in words if w in known]
+                sums.append((len(own), words.total(), sum([n for n, _, _ in often]), sum([n * x for n, x, _ in often]), sum([n * x for n, _, x in often])))
+            many, total, n_known, base, score = (np.array(x) for x in zip(*sums, strict=True))
+            n = len(rare)
+            none, zero = np.zeros(n, np.int64), np.zeros(n)
+            ids = np.repeat(row_ids, many)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, pa.nulls(n, pa.int64()), pa.array(rare, pa.binary()), np.array(times, np.int64), none, none, zero, zero)], names=names)
+            own_words = pa.array([b" %d" % k for k in row_ids], pa.binary())
+            none = np.zeros(len(row_ids), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row_ids, doc_ids, own_words, none, total, n_known, base.astype(float), score.astype(float))], names=names)
 
     return run
 
