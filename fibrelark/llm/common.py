@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +98,11 @@ class Scratch:
     def drop(self, name: str) -> None:
         delete(self.spark, self.at(name))
 
+    def tidy(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps, which it does when the driver collects their plans."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that others of the table cannot clash; a missing one is an error."""
@@ -117,6 +124,19 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same over a partition; when it ends, the worker gives back memory that it does not use, as idle workers stay."""
+
+    def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a matter of the C library in use
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (part for part in parts if part.num_rows)
 

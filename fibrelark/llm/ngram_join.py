@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fibrelark.llm.common import Scratch, batches, bytes_column, mix64
+from fibrelark.llm.common import Scratch, batches, bytes_column, mix64, trimmed
 from fibrelark.llm.components import Labels
 
 SHINGLE = 5
@@ -66,7 +66,7 @@ class _WordHashes(dict):
     """Word to its hash; forgets all when full, which bounds a worker's memory."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
+        if len(self) >= 60_000:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -118,6 +118,7 @@ def _lanes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LANES)
 
 
+DIGEST = ("text_1", "text_2")  # of the text, 128 bits in two columns
 _SETS = "doc_id long, class_id long, n long, bits binary, hashes binary"
 
 
@@ -141,11 +142,12 @@ def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(digest)
             bits.append(_bitmap(hashes).tobytes() if first else None)
             sets.append(hashes.tobytes() if first else None)
-        ids = [k for k in ("doc_id", "row_id") if k in batch.schema.names]
+        ids = [k for k in ("doc_id", *DIGEST) if k in batch.schema.names]
         columns = [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(batch.schema.get_field_index(k)).cast(pa.int64()) for k in ids), *columns], names=[*ids, "class_id", "n", "bits", "hashes"]
         )
+    _HASHES.clear()
 
 
 def _often(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,20 +490,24 @@ def _node_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([get(k).filter(ok) for k in ("h", "one", "two")], names=["h", "one", "two"])
 
 
+def digest_of(text: str) -> list[Column]:
+    return [F.xxhash64(F.lit(k), F.col(text)).alias(name) for k, name in enumerate(DIGEST)]
+
+
 class JaccardJoin:
-    """One run of the join over a table with doc_id and text; ``row`` names a column that tells rows apart, for surplus()."""
+    """One run of the join over a table with doc_id and text; ``digests`` keeps digests of the texts, for surplus()."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, row: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, docs: DataFrame, digests: bool = False) -> None:
         self.spark = spark
         self.scratch = Scratch(spark, "ngram-join")
-        keys = [F.col("doc_id").cast("long").alias("doc_id")] + ([F.col(row).alias("row_id")] if row else [])
-        schema = _SETS.replace("doc_id long", "doc_id long, row_id long") if row else _SETS
-        self.sets = self.scratch.write(docs.select(*keys, "text").mapInArrow(_sets, schema), "sets", SET_ROWS)
+        keys = [F.col("doc_id").cast("long").alias("doc_id"), *(digest_of("text") if digests else [])]
+        schema = _SETS.replace("doc_id long", f"doc_id long, {DIGEST[0]} long, {DIGEST[1]} long") if digests else _SETS
+        self.sets = self.scratch.write(docs.select(*keys, "text").mapInArrow(trimmed(_sets), schema), "sets", SET_ROWS)
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The common shingles in order of value, their rank in the routing order, and into how many parts each is dealt."""
-        counted = self.sets.filter("hashes is not null").select("hashes").mapInArrow(_often, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        counted = self.sets.filter("hashes is not null").select("hashes").mapInArrow(trimmed(_often), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         often = self.scratch.write(counted.filter("n >= 16").orderBy(F.desc("n"), "h").limit(COMMON), "often", SET_ROWS)
         rows = sorted(((r["h"], r["n"]) for r in often.collect()), key=lambda r: (-r[1], r[0]))
         h, n = np.array(rows, np.int64).reshape(-1, 2).T
@@ -529,24 +535,27 @@ class JaccardJoin:
         sets = scratch.write(self._of(ids, "hashes"), f"{name}-sets")
         side = lambda s: sets.select(F.col("class_id").alias(s), F.col("hashes").alias(f"set_{s}"))
         whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-        links = scratch.write(whole.mapInArrow(_verify, "a long, b long"), name, PAIR_ROWS)
+        links = scratch.write(whole.mapInArrow(trimmed(_verify), "a long, b long"), name, PAIR_ROWS)
         for part in ("pairs", "sets"):
             scratch.drop(f"{name}-{part}")
+        scratch.tidy()
         return links
 
     def _labels(self) -> DataFrame:
         """node and label of each class that links with another."""
         scratch = self.scratch
         routed = self.sets.filter("hashes is not null").select("class_id", "n", "hashes").mapInArrow(
-            _routing(*self._common()), "h long, salt long, class_id long, n int, pos int, common boolean, early boolean"
+            trimmed(_routing(*self._common())), "h long, salt long, class_id long, n int, pos int, common boolean, early boolean"
         )
         shared = scratch.write(
             routed.repartition(self.parts, "h", "salt").sortWithinPartitions("h", "salt", "n", "class_id").mapInArrow(
-                _blocks, "h long, chunk long, class_id long, n int, pos int, common boolean, early boolean"
+                trimmed(_blocks), "h long, chunk long, class_id long, n int, pos int, common boolean, early boolean"
             ),
             "shared",
             2 * SET_ROWS,
         )
+        del routed
+        scratch.tidy()
         labels = Labels(scratch)
         early = self._with_bits(shared.filter("early").drop("early", "common").withColumn("wide", F.lit(False)), "early")
         labels.add(self._links(self._candidates(early, None, 0), "links-0"))
@@ -574,10 +583,19 @@ class JaccardJoin:
         return out.select("doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
     def surplus(self) -> DataFrame:
-        """row_id of every row but the first of its component: the one with the least doc_id, then the least row_id; null ids come last."""
-        rows = self.sets.select("row_id", "doc_id", "class_id")
-        named = self._named(rows, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id"), "first")
-        return rows.join(named, F.col("class_id") == F.col("own")).filter("row_id <> first.row_id").select("row_id")
+        """doc_id, digest and ``more`` of texts that have a component: whether rows like this are all surplus, or all but one.
+
+        The first of a component has the least doc_id, then the least digest; null ids come
+        last. Of the first there is no row here if no other row equals it.
+        """
+        rows = self.sets.filter("class_id is not null").groupBy("doc_id", *DIGEST, "class_id").agg(F.count(F.lit(1)).alias("n"))
+        rows = self.scratch.write(rows, "rows")
+        named = self._named(rows, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *DIGEST), "first")
+        same = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+        for name in DIGEST:
+            same &= F.col(name) == F.col(f"first.{name}")
+        found = rows.join(named, F.col("class_id") == F.col("own")).select("doc_id", *DIGEST, same.alias("stays"), "n")
+        return self.scratch.write(found.filter("not stays or n > 1").select("doc_id", *DIGEST, (~F.col("stays")).alias("all")), "surplus")
 
     def _with_bits(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows of blocks with the bitmaps of their classes, written."""
@@ -598,7 +616,7 @@ class JaccardJoin:
         named = self._labelled(shared.drop("early"), labels)
         columns = "h long, chunk long, class_id long, n long, pos long, label long, wide boolean"
         # Blocks of shingles that few share: only rows that still have a possible partner go on.
-        few = named.filter("not common").drop("common").repartition(self.parts, "h").sortWithinPartitions("h", "chunk", "n").mapInArrow(_feasible, columns)
+        few = named.filter("not common").drop("common").repartition(self.parts, "h").sortWithinPartitions("h", "chunk", "n").mapInArrow(trimmed(_feasible), columns)
         often = named.filter("common").drop("common")
         mixed = often.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.min("chunk") < F.max("chunk")).alias("wide"))
         mixed = mixed.filter("lo <> hi").select(F.col("h").alias("mixed"), "wide")
@@ -619,13 +637,13 @@ class JaccardJoin:
         places = Window.partitionBy("h").orderBy("chunk")
         numbered = scratch.write(chunks.withColumn("node", F.row_number().over(places).cast("long") - 1), f"{name}-chunks")
         rows = wide.join(numbered, ["h", "chunk"]).select("h", "node", "n", "label", "bits")
-        made = rows.repartition(self.parts, "h", "node").sortWithinPartitions("h", "node").mapInArrow(_nodes_of(True), schema)
+        made = rows.repartition(self.parts, "h", "node").sortWithinPartitions("h", "node").mapInArrow(trimmed(_nodes_of(True)), schema)
         levels = [scratch.write(made, f"{name}-0")]
         widest = levels[0].agg(F.max("node")).first()[0]
         while widest:
             widest //= FAN
             above = levels[-1].withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
-            made = above.repartition(self.parts, "h", "node").sortWithinPartitions("h", "node").mapInArrow(_nodes_of(False), schema)
+            made = above.repartition(self.parts, "h", "node").sortWithinPartitions("h", "node").mapInArrow(trimmed(_nodes_of(False)), schema)
             levels.append(scratch.write(made, f"{name}-{len(levels)}"))
         pairs = levels[-1].filter("first < last").select("h", F.col("node").alias("one"), F.col("node").alias("two"))
         for depth in range(len(levels) - 2, -1, -1):
@@ -635,7 +653,7 @@ class JaccardJoin:
             grown = above.join(side("x", "one"), (F.col("h") == F.col("x_h")) & (F.col("above_one") == F.col("x_parent")))
             grown = grown.join(side("y", "two"), (F.col("h") == F.col("y_h")) & (F.col("above_two") == F.col("y_parent"))).filter("one <= two")
             columns = ["h", "one", "two", *[f"{s}_{c}" for s in "xy" for c in (*_RANGES, "bits")]]
-            pairs = scratch.write(grown.select(columns).mapInArrow(_node_pairs, "h long, one long, two long"), f"{name}-pairs-{depth}")
+            pairs = scratch.write(grown.select(columns).mapInArrow(trimmed(_node_pairs), "h long, one long, two long"), f"{name}-pairs-{depth}")
         chunk = lambda s: numbered.select(F.col("h").alias(f"{s}_h"), F.col("node").alias(f"{s}_node"), F.col("chunk").alias(f"{s}_chunk"))
         both = pairs.join(chunk("x"), (F.col("h") == F.col("x_h")) & (F.col("one") == F.col("x_node"))).join(chunk("y"), (F.col("h") == F.col("y_h")) & (F.col("two") == F.col("y_node")))
         return scratch.write(both.select("h", F.col("x_chunk").alias("one"), F.col("y_chunk").alias("two")), f"{name}-pairs")
@@ -651,7 +669,7 @@ class JaccardJoin:
             pairs = self._chunk_pairs(wide, turn)
             sides = pairs.select("h", "one", "two", F.col("one").alias("chunk")).union(pairs.filter("one <> two").select("h", "one", "two", F.col("two").alias("chunk")))
             found = found.union(sides.join(wide, ["h", "chunk"]).select(names))
-        return found.repartition(self.parts, "h", "one", "two").sortWithinPartitions("h", "one", "two", "n").mapInArrow(_traversal(turn), "a long, b long").distinct()
+        return found.repartition(self.parts, "h", "one", "two").sortWithinPartitions("h", "one", "two", "n").mapInArrow(trimmed(_traversal(turn)), "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -662,9 +680,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of each component, the first with the least doc_id; all columns. Documents without words stay.
 
-    Rows are numbered in a written table, so that repeated and null ids are rows of
-    their own and a number means the same row in every pass.
+    Rows are told apart by doc_id and text, so repeated and null ids are rows of their own
+    and every pass over ``docs`` decides alike; of rows equal in both any one stays.
     """
-    numbered = Scratch(spark, "numbered").write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    surplus = JaccardJoin(spark, numbered, "__row").surplus()
-    return numbered.join(surplus.withColumnRenamed("row_id", "__gone"), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    surplus = JaccardJoin(spark, docs, digests=True).surplus()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), *digest_of("text"))
+
+    def rows_of(table: DataFrame, how: str) -> DataFrame:
+        table = table.select(F.col("doc_id").alias("gone_id"), *[F.col(name).alias(f"gone_{name}") for name in DIGEST])
+        same = F.col("own_id").eqNullSafe(F.col("gone_id"))
+        for name in DIGEST:
+            same &= F.col(name) == F.col(f"gone_{name}")
+        return keyed.join(table, same, how)
+
+    single = rows_of(surplus, "left_anti")
+    # Rows that are repeated as they are: partial aggregates keep one in each task before they meet.
+    several = rows_of(surplus.filter("not all"), "left_semi").dropDuplicates(["own_id", *DIGEST])
+    return single.union(several).select("doc.*")
