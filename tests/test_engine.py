@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from fibrelark.functions.columns import fec_probabilities
 from fibrelark.operators import diagnostics, explain, forest
 from fibrelark.operators.channels import measurement_channels
-from fibrelark.operators.evaluate import Evaluator
+from fibrelark.operators.evaluate import Evaluator, tune
 from fibrelark.operators.features import RX_FEATURES, FeatureSpec, columns_for, feature_table, rx_features
 from fibrelark.operators.grid import resample
 from fibrelark.operators.incidents import Machine, Policy, check_scores, latch
@@ -353,6 +354,29 @@ def test_evaluation_counts(spark):
         Evaluator().evaluate(alerts, truth, rows, at(5), at(5))
 
 
+def test_a_grid_of_policies_is_evaluated_like_each_alone(spark):
+    rng = random.Random(3)
+    scores = [(at(5 * k), e, rng.choice([0.1, 0.5, 0.97, 0.99, None])) for e in ("a", "b") for k in range(200)]
+    scores = spark.createDataFrame(scores, "timestamp timestamp, entity_id string, statistical double")
+    scores = scores.withColumns({"isolation_forest": F.col("statistical") * 0.99, "combined": F.col("statistical")}).cache()
+    rows = telemetry(spark, [(5 * k, e, RX, 1.0) for e in ("a", "b") for k in range(200)])
+    truth = [(f"f{k}", "ab"[k % 2], "exponential", at(60 * k), at(60 * k), at(60 * k + 50), at(60 * k + 110)) for k in range(15)]
+    truth = spark.createDataFrame(truth, FAULT)
+    evaluator, base = Evaluator(5, 10.0, 2), Policy(high=0.95, low=0.3, opening_intervals=1, closing_intervals=1)
+    table = tune(scores, truth, rows, at(0), at(900), evaluator, base, [1, 2], [2], 5000.0).collect()
+    assert len(table) == 6 and [r.meets_workload_budget for r in table] == sorted((r.meets_workload_budget for r in table), reverse=True)
+    for r in table:
+        if r.detector == "isolation_forest":
+            continue
+        policy = replace(base, opening_intervals=r.opening_intervals, closing_intervals=r.closing_intervals)
+        alone = latch(scores.select("timestamp", "entity_id", F.col(r.detector).alias("score")), policy)
+        own = evaluator.evaluate(alone, truth, rows, at(0), at(900))[0].first().asDict()
+        assert {k: r[k] for k in own} == own
+        assert r.telemetry_gap_closures == alone.filter("reason = 'telemetry_gap'").count()
+    with pytest.raises(ContractError, match="monitoring"):
+        tune(scores, truth, rows.union(rows.limit(1)), at(0), at(900), evaluator, base, [1], [2], 5.0)
+
+
 def test_splits_are_half_open(spark):
     split = split_of(T0, 10)
     ends = [split.train_end, split.calibration_end, split.validation_end, split.test_end]
