@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents on word shingles, with signature trees.
 
 1. Each text becomes its set of 64-bit shingle hashes, a token bitmap of 2048 bits and
-   a class id (equal sets share it, so copies count once).
+   a class id, a 63-bit digest of the set (equal sets share it, so copies count once).
 2. Shingles that many documents share are found in one pass and ordered last; each
    class is routed by the first ``n - ceil(0.8 n) + 1`` shingles in that order. Two
    sets that link share one of them, whatever the order is, so nothing is lost.
@@ -50,6 +50,8 @@ FAN = 16  # children of a node above chunks
 EARLY = 4  # routing shingles of a class that the first turn takes
 COMMON = 200_000  # shingles in the list of common ones: bounds what is broadcast
 SLICE = 8192  # pairs of bitmaps compared at once, which bounds a worker's memory
+# Hashes below this, a seventh of all, are the head of a set: more than the ninth that a link may lack.
+HEAD = np.uint64((1 << 64) // 7)
 REMEMBERED = 50_000  # pairs that a task does not tell twice
 REMEMBERED_CLASSES = 1_000_000
 PASS_SHINGLES = 1_000_000
@@ -246,6 +248,31 @@ def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(held, told_chunks)
 
 
+def _heads(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set the shingles below HEAD, half of each hash: a fourteenth of the bytes."""
+    for batch in batches(parts):
+        heads = []
+        for packed in batch.column(2).to_pylist():
+            hashes = _unpack(packed)
+            heads.append((hashes[: int(np.searchsorted(hashes, HEAD))] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, pa.binary())], names=["class_id", "n", "head"])
+
+
+def _likely(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that the heads of both sets do not exclude: what is missing there is missing from the overlap.
+
+    Halves of hashes may agree by chance, which only keeps a pair for the whole comparison.
+    """
+    for batch in batches(parts):
+        a, b, na, nb, x, y = (batch.column(k).to_pylist() for k in range(6))
+        keep = []
+        for n, m, one, two in zip(na, nb, x, y, strict=True):
+            one, two = np.frombuffer(one, np.uint32), np.frombuffer(two, np.uint32)
+            common = np.count_nonzero(np.isin(one, two))
+            keep.append(min(n - len(one), m - len(two)) + common >= _least_overlap(n, m))
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(v, keep, strict=True) if k], pa.int64()) for v in (a, b)], names=["a", "b"])
+
+
 def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(parts):
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -448,7 +475,7 @@ def _traversal(turn: int | None):  # noqa: ANN202
     return run
 
 
-_NODE = "h long, level int, node long, low long, high long, over long, first long, last long, bits binary"
+_NODE = "h long, node long, low long, high long, over long, first long, last long, bits binary"
 _RANGES = ["low", "high", "over", "first", "last"]
 
 
@@ -517,26 +544,32 @@ class JaccardJoin:
         return h.view(np.uint64)[order], rank[order], salts[order]
 
     def _of(self, ids: DataFrame, *columns: str) -> DataFrame:
-        """The named columns of the classes with these ids (a column ``id``), once each.
+        """The named columns of the classes with these ids (a column ``id``), once for each task that met them.
 
         Few ids go to the sets, many meet them by a shuffle.
         """
         first = self.sets.filter("hashes is not null").select("class_id", *columns)
         ids = ids.select("id").distinct()
         small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        found = first.join(F.broadcast(ids) if small else ids, F.col("class_id") == F.col("id"), "left_semi")
-        return found.dropDuplicates(["class_id"])
+        return first.join(F.broadcast(ids) if small else ids, F.col("class_id") == F.col("id"), "left_semi")
+
+    def _paired(self, pairs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        """Pairs with the columns of both sides, as a_... and b_...; ``found`` has a row for each class and task."""
+        there = self.scratch.write(found.dropDuplicates(["class_id"]), name, SET_ROWS)
+        side = lambda s: there.select(F.col("class_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in there.columns[1:]])
+        return pairs.join(side("a"), "a").join(side("b"), "b")
 
     def _links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs of classes that link, verified on the whole sets."""
+        """The pairs of classes that link: excluded by their heads (bitmaps of long sets are full), then verified on the whole sets."""
         scratch = self.scratch
+        ids = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
         pairs = scratch.write(pairs, f"{name}-pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-        sets = scratch.write(self._of(ids, "hashes"), f"{name}-sets")
-        side = lambda s: sets.select(F.col("class_id").alias(s), F.col("hashes").alias(f"set_{s}"))
-        whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-        links = scratch.write(whole.mapInArrow(trimmed(_verify), "a long, b long"), name, PAIR_ROWS)
-        for part in ("pairs", "sets"):
+        heads = self._of(ids(pairs), "n", "hashes").mapInArrow(trimmed(_heads), "class_id long, n long, head binary")
+        both = self._paired(pairs, heads, f"{name}-heads").select("a", "b", "a_n", "b_n", "a_head", "b_head")
+        near = scratch.write(both.mapInArrow(trimmed(_likely), "a long, b long"), f"{name}-near", SET_ROWS)
+        both = self._paired(near, self._of(ids(near), "hashes"), f"{name}-sets").select("a", "b", "a_hashes", "b_hashes")
+        links = scratch.write(both.mapInArrow(trimmed(_verify), "a long, b long"), name, PAIR_ROWS)
+        for part in ("pairs", "heads", "near", "sets"):
             scratch.drop(f"{name}-{part}")
         scratch.tidy()
         return links
@@ -600,7 +633,7 @@ class JaccardJoin:
     def _with_bits(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows of blocks with the bitmaps of their classes, written."""
         rows = self.scratch.write(rows, f"{name}-rows")
-        bits = self._of(rows.select(F.col("class_id").alias("id")), "bits").select(F.col("class_id").alias("own"), "bits")
+        bits = self._of(rows.select(F.col("class_id").alias("id")), "bits").dropDuplicates(["class_id"]).select(F.col("class_id").alias("own"), "bits")
         columns = ["h", "chunk", "class_id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "wide", "bits"]
         leaves = self.scratch.write(rows.join(bits, F.col("class_id") == F.col("own")).select(columns), name)
         self.scratch.drop(f"{name}-rows")
@@ -631,19 +664,18 @@ class JaccardJoin:
         both sides; a join key (h, node) has FAN children.
         """
         scratch, name = self.scratch, f"nodes-{turn}"
-        schema = ", ".join(x for x in _NODE.split(", ") if x != "level int")
         # Chunks are numbered by place within their shingle, so FAN of them in a row make a node.
         chunks = wide.select("h", "chunk").distinct()
         places = Window.partitionBy("h").orderBy("chunk")
         numbered = scratch.write(chunks.withColumn("node", F.row_number().over(places).cast("long") - 1), f"{name}-chunks")
         rows = wide.join(numbered, ["h", "chunk"]).select("h", "node", "n", "label", "bits")
-        made = rows.repartition(self.parts, "h", "node").sortWithinPartitions("h", "node").mapInArrow(trimmed(_nodes_of(True)), schema)
+        made = rows.repartition(self.parts, "h", "node").sortWithinPartitions("h", "node").mapInArrow(trimmed(_nodes_of(True)), _NODE)
         levels = [scratch.write(made, f"{name}-0")]
         widest = levels[0].agg(F.max("node")).first()[0]
         while widest:
             widest //= FAN
             above = levels[-1].withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
-            made = above.repartition(self.parts, "h", "node").sortWithinPartitions("h", "node").mapInArrow(trimmed(_nodes_of(False)), schema)
+            made = above.repartition(self.parts, "h", "node").sortWithinPartitions("h", "node").mapInArrow(trimmed(_nodes_of(False)), _NODE)
             levels.append(scratch.write(made, f"{name}-{len(levels)}"))
         pairs = levels[-1].filter("first < last").select("h", F.col("node").alias("one"), F.col("node").alias("two"))
         for depth in range(len(levels) - 2, -1, -1):
