@@ -78,6 +78,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.written: set[str] = set()
         atexit.register(_delete_quietly, spark, self.path)
 
     def at(self, name: str) -> str:
@@ -86,6 +87,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
         """Writes and reads again; ``batch_rows`` bounds the Arrow batches of this plan, where rows are wide."""
         path = self.at(name)
+        self.written.add(name)
         before = self.spark.conf.get(BATCH_ROWS)
         if batch_rows:
             self.spark.conf.set(BATCH_ROWS, str(min(batch_rows, int(before) if int(before) > 0 else batch_rows)))
@@ -97,11 +99,25 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         delete(self.spark, self.at(name))
+        self.written.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        for name in self.written.difference(names):
+            self.drop(name)
 
     def tidy(self) -> None:
-        """Lets Spark remove the shuffle files of finished steps, which it does when the driver collects their plans."""
+        """Lets Spark remove the shuffle files of finished steps, which it does when the driver collects their plans.
+
+        Executors collect their garbage too and give back the heap that steps before left
+        grown, as the pages of sorts and aggregates make it grow to its limit.
+        """
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        context = self.spark.sparkContext
+        context._jvm.System.gc()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):  # there the driver is the executor
+            slots = context.defaultParallelism
+            self.spark.range(0, slots, 1, slots).selectExpr("java_method('java.lang.System', 'gc')").collect()
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:

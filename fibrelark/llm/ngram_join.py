@@ -56,6 +56,7 @@ REMEMBERED = 50_000  # pairs that a task does not tell twice
 REMEMBERED_CLASSES = 1_000_000
 PASS_SHINGLES = 1_000_000
 BROADCAST_IDS = 1_000_000  # ids of candidates are broadcast up to this number, joined by a shuffle beyond
+BROADCAST_ROWS = 250_000  # the same of ids with digests
 # A chunk's number: band of sizes, salt, place; chunks of near sizes are near in number.
 PLACES, SALTS = 1 << 20, 1 << 20
 # Rows in an Arrow batch: of texts and sets, of pairs with both sets.
@@ -530,6 +531,7 @@ class JaccardJoin:
         keys = [F.col("doc_id").cast("long").alias("doc_id"), *(digest_of("text") if digests else [])]
         schema = _SETS.replace("doc_id long", f"doc_id long, {DIGEST[0]} long, {DIGEST[1]} long") if digests else _SETS
         self.sets = self.scratch.write(docs.select(*keys, "text").mapInArrow(trimmed(_sets), schema), "sets", SET_ROWS)
+        self.scratch.tidy()
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -604,6 +606,7 @@ class JaccardJoin:
         lows = rows.filter("class_id is not null").groupBy("class_id").agg(F.min(low).alias("low"))
         classes = lows.join(self._labels(), F.col("class_id") == F.col("node"), "left").select("class_id", "low", F.coalesce("label", "class_id").alias("label"))
         classes = self.scratch.write(classes, "classes")
+        self.scratch.keep("sets", "rows", "classes")
         least = classes.groupBy("label").agg(F.min("low").alias(name))
         return classes.join(least, "label").select(F.col("class_id").alias("own"), name)
 
@@ -628,7 +631,11 @@ class JaccardJoin:
         for name in DIGEST:
             same &= F.col(name) == F.col(f"first.{name}")
         found = rows.join(named, F.col("class_id") == F.col("own")).select("doc_id", *DIGEST, same.alias("stays"), "n")
-        return self.scratch.write(found.filter("not stays or n > 1").select("doc_id", *DIGEST, (~F.col("stays")).alias("all")), "surplus")
+        found = found.filter("not stays or n > 1").select("doc_id", *DIGEST, (~F.col("stays")).alias("all"))
+        surplus = self.scratch.write(found, "surplus")
+        self.scratch.keep("surplus")
+        self.scratch.tidy()
+        return surplus
 
     def _with_bits(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows of blocks with the bitmaps of their classes, written."""
@@ -716,6 +723,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     and every pass over ``docs`` decides alike; of rows equal in both any one stays.
     """
     surplus = JaccardJoin(spark, docs, digests=True).surplus()
+    small = surplus.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then whole documents need no shuffle
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), *digest_of("text"))
 
     def rows_of(table: DataFrame, how: str) -> DataFrame:
@@ -723,7 +731,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
         same = F.col("own_id").eqNullSafe(F.col("gone_id"))
         for name in DIGEST:
             same &= F.col(name) == F.col(f"gone_{name}")
-        return keyed.join(table, same, how)
+        return keyed.join(F.broadcast(table) if small else table, same, how)
 
     single = rows_of(surplus, "left_anti")
     # Rows that are repeated as they are: partial aggregates keep one in each task before they meet.

@@ -2,6 +2,8 @@
 
 import random
 import re
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
@@ -117,3 +119,42 @@ def test_one_row_of_each_component_stays(spark):
     kept = sorted(r.row_id for r in out.collect())
     assert [k for k in kept if k not in (3, 4)] == [5, 6, 8, 9, 10] and len(kept) == 6
     assert ngram_join.deduplicated(spark, docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_documents_are_not_shuffled_to_meet_few_surplus_rows(spark, most, monkeypatch):
+    if most is not None:
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(corpus(3))] + [(0, None), (0, None)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ngram_join.deduplicated(spark, docs)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ("SortMergeJoin" in plan) == (most == 0) and ("BroadcastHashJoin" in plan) == (most is None)
+    texts = corpus(3)
+    kept = [(k, texts[k]) for k, (_, low) in enumerate(plain_join(texts)) if low == k]
+    assert got == sorted([*kept, (0, None), (0, None)], key=repr)
+
+
+def test_finished_tables_leave_the_disk(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(corpus(3))], "doc_id long, text string")
+    join = ngram_join.JaccardJoin(spark, docs, digests=True)
+    assert join.surplus().count()
+    assert [p.name for p in Path(join.scratch.path.removeprefix("file:")).iterdir()] == ["surplus"]
+
+
+def test_tidy_has_executors_collect_their_garbage(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collected = lambda: sum(bean.getCollectionCount() for bean in beans if "Old" in bean.getName() or "MarkSweep" in bean.getName())
+    asked = []
+    context = SimpleNamespace(master="spark://far:7077", defaultParallelism=3, _jvm=spark.sparkContext._jvm)
+    away = SimpleNamespace(sparkContext=context, range=lambda *a: asked.append(a) or spark.range(*a))
+    scratch = Scratch(spark, "tidy")
+    scratch.spark = away
+    start = collected()
+    scratch.tidy()
+    assert asked == [(0, 3, 1, 3)] and collected() >= start + 2  # the driver's own, and the tasks'
