@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fibrelark.llm import chat_format, decontaminate, html_extract, lm_scoring, mixing, ngram_join, pii, quality_rules, token_counts, warc
+from fibrelark.llm import chat_format, clustering, decontaminate, fill_middle, html_extract, lm_scoring, mixing, ngram_join, pii, quality_rules, token_counts, warc
 from fibrelark.llm.common import table
 
 
@@ -59,6 +59,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    found = clustering.cluster(spark, table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in globals().items() if name.startswith("op") and callable(function)
 }
@@ -66,6 +79,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
 
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10, seed: int = 3, dim: int = 64, scale: int = 1024) -> str:
+    """Every distance in every round, one common table expression after the other."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dim})""",
+        f"""c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h NULLS LAST, v) - 1)::INTEGER AS c, v
+  FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {k}))""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""d{r} AS MATERIALIZED (
+  SELECT i, any_value(vec_id) AS vec_id, any_value(v) AS v, min(m) AS m FROM (
+    SELECT i, vec_id, kept.v AS v, {{'d': list_sum(list_transform(list_zip(kept.v, o.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': o.c}} AS m
+    FROM kept, c{r} o) GROUP BY i)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(f.v, o.v) AS v FROM c{r} o LEFT JOIN (
+    SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY j) AS v FROM (
+      SELECT m.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM d{r}, range(1, {dim + 1}) t(j) GROUP BY 1, 2) GROUP BY c) f USING (c))""")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, m.c AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.c)::BIGINT AS cluster_inertia,
+  sum(m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(o.v, ',')) AS centroid_sha256
+FROM d{rounds} JOIN c{rounds} o ON o.c = m.c
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": f"""
 WITH RECURSIVE
@@ -127,5 +170,22 @@ m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> r THEN r END AS refers_to
 FROM m
+""",
+    "op12_centroid_clustering": _clustering_sql(),
+    "op13_fill_in_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS r1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS r2,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, array_to_string(u[1:least(r1, r2)], '') AS a, array_to_string(u[least(r1, r2) + 1:greatest(r1, r2)], '') AS m,
+    array_to_string(u[greatest(r1, r2) + 1:], '') AS s FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
 """,
 }
