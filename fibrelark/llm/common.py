@@ -84,7 +84,7 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def write(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, batch_rows: int | None = None, **options: str) -> DataFrame:
         """Writes and reads again; ``batch_rows`` bounds the Arrow batches of this plan, where rows are wide."""
         path = self.at(name)
         self.written.add(name)
@@ -92,7 +92,7 @@ class Scratch:
         if batch_rows:
             self.spark.conf.set(BATCH_ROWS, str(min(batch_rows, int(before) if int(before) > 0 else batch_rows)))
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").options(**options).parquet(path)
         finally:
             self.spark.conf.set(BATCH_ROWS, before)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fibrelark.llm import chat_format, clustering, decontaminate, fill_middle, html_extract, lm_scoring, mixing, ngram_join, pii, quality_rules, token_counts, warc
+from fibrelark.llm import chat_format, clustering, decontaminate, fill_middle, html_extract, lm_scoring, mixing, ngram_join, packing, pii, quality_rules, token_counts, warc
 from fibrelark.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
     found = clustering.cluster(spark, table(spark, sf_dir, "embeddings"))

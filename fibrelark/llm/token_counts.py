@@ -51,7 +51,7 @@ _CLEAR = re.compile(f"[^{_BLANK}]+")
 _PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^{_BLANK}a-z0-9{_LATIN}]+")
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The public byte-level alphabet: printable bytes stand for themselves, others for code points from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain}
@@ -62,7 +62,7 @@ def _byte_letters() -> dict[str, int]:
 def proven_whole(tokenizer_path: str) -> list[bytes]:
     """Pre-tokens that the library encodes alone as one token, in UTF-8."""
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    letters = _byte_letters()
+    letters = byte_letters()
     found = set()
     for entry in tokenizer.get_vocab(with_added_tokens=False):
         spelt = entry.removesuffix(WORD_END)
