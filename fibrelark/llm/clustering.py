@@ -1,11 +1,12 @@
 """Centroid clustering of integer vectors by annulus search.
 
-The centroids stand in the order of their norms. The distance of a vector to the centroid next
-to it in norm is an upper bound u of the distance to its nearest one, and by the triangle
-inequality every centroid within u of the vector has a norm within u of the vector's. Those lie
-side by side in the order: their ends are found by binary search, and only they are compared,
-exactly, in whole numbers. The bounds are widened by more than the rounding of the norms, so
-that ties on the edge of the annulus are compared too.
+The centroids stand in the order of their norms. The distance of a vector to any centroid is an
+upper bound u of the distance to its nearest one, and by the triangle inequality every centroid
+within u of the vector has a norm within u of the vector's. Those lie side by side in the order:
+their ends are found by binary search, and only they are compared, exactly, in whole numbers.
+The first bound is the centroid next in norm. A wide annulus is compared from its middle in
+steps of twice the size, each of which may lower u and so move the ends inwards. The ends are
+widened by more than the rounding of the norms, so that ties on the edge are compared too.
 
 A round is one pass over the written table of whole-number vectors. Tasks send sums and counts
 of their clusters only; k rows of totals by component make the next centroids on the driver,
@@ -51,37 +52,45 @@ class Annulus:
 
     def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cluster number and squared distance of each vector, both exact."""
-        cluster, distance = np.empty(len(vectors), np.int64), np.empty(len(vectors), np.int64)
+        n, k = len(vectors), len(self.norms)
+        number, distance = np.full(n, k), np.full(n, np.iinfo(np.int64).max)
         norms = np.sqrt((vectors * vectors).sum(1).astype(float))
-        at = np.searchsorted(self.norms, norms)
-        left, right = np.maximum(at - 1, 0), np.minimum(at, len(self.norms) - 1)
-        beside = np.where(norms - self.norms[left] <= self.norms[right] - norms, left, right)
-        step = max(1, HELD // vectors.shape[1])
-        bound = np.empty(len(vectors))
-        for k in range(0, len(vectors), step):
-            apart = vectors[k : k + step] - self.centroids[beside[k : k + step]]
-            bound[k : k + step] = np.sqrt((apart * apart).sum(1).astype(float))
-        slack = (norms + bound) * 2.0**-40
-        low = np.searchsorted(self.norms, norms - bound - slack, "left")
-        high = np.searchsorted(self.norms, norms + bound + slack, "right")
-        width = high - low
-        ends = np.cumsum(width)
+        left = np.searchsorted(self.norms, norms)  # compared so far: places from left up to right
+        right, low, high = left.copy(), np.zeros(n, np.int64), np.full(n, k)
+        live, more = np.arange(n), 1
+        while len(live):
+            begin, end = np.minimum(left[live], np.maximum(low[live], left[live] - more)), np.maximum(right[live], np.minimum(high[live], right[live] + more))
+            for first, last in ((begin, left[live]), (right[live], end)):
+                self._compare(vectors, live, first, last, number, distance)
+            left[live], right[live] = begin, end
+            bound = np.sqrt(distance[live].astype(float))
+            slack = (norms[live] + bound) * 2.0**-40
+            low[live] = np.searchsorted(self.norms, norms[live] - bound - slack, "left")
+            high[live] = np.searchsorted(self.norms, norms[live] + bound + slack, "right")
+            live = live[(low[live] < left[live]) | (high[live] > right[live])]
+            more *= 2
+        return number, distance
+
+    def _compare(self, vectors: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray, number: np.ndarray, distance: np.ndarray) -> None:
+        """Lowers number and distance of the rows by the centroids at the places from first up to last."""
+        some = last > first
+        rows, first, counts = rows[some], first[some], (last - first)[some]
+        ends = np.cumsum(counts)
         self.compared += int(ends[-1]) if len(ends) else 0
-        k = 0
-        while k < len(vectors):
-            # As many vectors as hold about ``step`` candidates; one at least, whose candidates the centroids bound.
+        step, k = max(1, HELD // vectors.shape[1]), 0
+        while k < len(rows):
+            # As many rows as have about ``step`` candidates; one at least, whose candidates the centroids bound.
             until = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + step, "right")))
-            counts = width[k:until]
-            begins = np.cumsum(counts) - counts
-            rows = np.repeat(np.arange(k, until), counts)
-            places = np.arange(len(rows)) - np.repeat(begins, counts) + np.repeat(low[k:until], counts)
-            apart = vectors[rows] - self.centroids[places]
+            row, n = rows[k:until], counts[k:until]
+            begins = np.cumsum(n) - n
+            places = np.arange(int(n.sum())) + np.repeat(first[k:until] - begins, n)
+            apart = vectors[np.repeat(row, n)] - self.centroids[places]
             squares = (apart * apart).sum(1)
             least = np.minimum.reduceat(squares, begins)
-            numbers = np.where(squares == np.repeat(least, counts), self.number[places], len(self.number))
-            cluster[k:until], distance[k:until] = np.minimum.reduceat(numbers, begins), least
+            least_number = np.minimum.reduceat(np.where(squares == np.repeat(least, n), self.number[places], len(self.number)), begins)
+            better = (least < distance[row]) | ((least == distance[row]) & (least_number < number[row]))
+            distance[row[better]], number[row[better]] = least[better], least_number[better]
             k = until
-        return cluster, distance
 
 
 def whole_vectors(vectors: DataFrame, dim: int, scale: int) -> DataFrame:
