@@ -5,8 +5,8 @@ afterwards: texts are cut into pre-tokens by masks over whole arrays of bytes, a
 of arrays, keyed by a pre-token's bytes themselves, gives all their ids together. Many are merged
 at a time, by a faster library over the same vocabulary, which joins any two neighbours that make
 an entry where the file joins only listed pairs. The two agree if every entry encodes alone as
-itself, as the last pair joined within an entry's span is then the listed one; this is checked
-when a worker starts, and if it does not hold the file's own library merges.
+itself, as the last pair joined within an entry's span is then the listed one; this is proven
+on the driver, and if it does not hold the file's own library merges.
 
 Cutting follows the library's pattern over characters whose class no version of Unicode
 disputes (ASCII and Latin letters up to U+017F). Stretches with other characters, or with what
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from typing import NamedTuple
 
 import numpy as np
 import tiktoken
@@ -29,7 +30,7 @@ from fibrelark.llm.token_counts import byte_letters
 # Pre-tokens and ids that a worker remembers, and bytes of text that it cuts at once; all bound its memory.
 REMEMBERED = 1 << 20
 IDS = 1 << 23
-STRETCH = 1 << 22
+STRETCH = 1 << 21
 # Bytes of a pre-token that the table holds; longer ones, and stretches for the library, are in a dict up to LONGEST.
 HELD = 16
 LONGEST = 64
@@ -91,38 +92,54 @@ def _cut_alone(word: bytes) -> list[int]:
     return np.flatnonzero(starts(b)[: len(word)]).tolist()
 
 
+class Vocabulary(NamedTuple):
+    """What workers need of a tokenizer file; its size is bounded by the vocabulary's."""
+
+    known_pattern: bool
+    width: int
+    ranks: dict[bytes, int] | None
+
+
+def read_vocabulary(tokenizer_path: str) -> Vocabulary:
+    """Reads the file once, on the driver, and proves that the faster library may merge."""
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    setting = json.loads(tokenizer.to_str())
+    cutter = setting["pre_tokenizer"] or {}
+    # Other tokenizers cut otherwise: the library then encodes the texts whole.
+    known = cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space") and not setting["normalizer"]
+    width = 2 if max(tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+    return Vocabulary(bool(known), width, _proven(tokenizer, setting["model"]["vocab"]) if known else None)
+
+
+def _proven(tokenizer: Tokenizer, vocabulary: dict[str, int]) -> dict[bytes, int] | None:
+    """The entries as bytes, if each that a text can hold alone encodes as itself."""
+    letters = byte_letters()
+    added = {token.content for token in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(letters[c] for c in entry): k for entry, k in vocabulary.items() if all(c in letters for c in entry) and entry not in added}
+    if len(ranks) < len(vocabulary.keys() - added) or not all(bytes([b]) in ranks for b in range(256)):
+        return None
+    whole = [(w, k) for w, k in ranks.items() if _is_text(w)]
+    own = tokenizer.encode_batch([w.decode() for w, _ in whole], add_special_tokens=False)
+    # An entry over two pre-tokens can never be met whole; any other must come out as itself.
+    bad = (w for (w, k), e in zip(whole, own, strict=True) if e.ids != [k] and (len(e.ids) == 1 or len(_cut_alone(w)) == 1))
+    return None if any(True for _ in bad) else ranks
+
+
 class Encoder:
     """Encodes texts in one worker process."""
 
-    def __init__(self, tokenizer_path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        setting = json.loads(self.tokenizer.to_str())
-        cutter = setting["pre_tokenizer"] or {}
-        # Other tokenizers cut otherwise: the library then encodes the texts whole.
-        self.known_pattern = cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space") and not setting["normalizer"]
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.merges = self._faster(setting["model"]["vocab"]) if self.known_pattern else None
+    def __init__(self, tokenizer_path: str, vocabulary: Vocabulary | None = None) -> None:
+        vocabulary = vocabulary or read_vocabulary(tokenizer_path)
+        self.path, self.known_pattern, self.kind = tokenizer_path, vocabulary.known_pattern, np.dtype(f"<u{vocabulary.width}")
+        self.merges = tiktoken.Encoding("entries", pat_str=PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={}) if vocabulary.ranks else None
+        self.tokenizer: Tokenizer | None = None
         self._forget()
 
-    def _faster(self, vocabulary: dict[str, int]) -> tiktoken.Encoding | None:
-        """The same vocabulary in the faster library, if every entry that a text can hold alone encodes as itself."""
-        letters = byte_letters()
-        spelt = {bytes(letters[c] for c in entry): k for entry, k in vocabulary.items() if all(c in letters for c in entry)}
-        ranked = {word: k for word, k in spelt.items()}
-        if len(ranked) + self.tokenizer.get_vocab_size(True) - self.tokenizer.get_vocab_size(False) < len(vocabulary) or not all(bytes([b]) in ranked for b in range(256)):
-            return None
-        faster = tiktoken.Encoding("entries", pat_str=PATTERN, mergeable_ranks=ranked, special_tokens={})
-        whole = [(w.decode(), k) for w, k in ranked.items() if _is_text(w)]
-        own = self._library([w for w, _ in whole])
-        if any(len(ids) == 1 and ids[0] != k for (_, k), ids in zip(whole, own, strict=True)):
-            return None
-        # An entry over two pre-tokens can never be met whole; any other must come out as itself.
-        split = [w for (w, _), ids in zip(whole, own, strict=True) if len(ids) > 1]
-        return faster if all(len(_cut_alone(w.encode())) > 1 for w in split) else None
-
     def _library(self, texts: list[str]) -> list[list[int]]:
+        if self.tokenizer is None:  # loaded where a text needs it
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fibrelark.llm.byte_pairs import Encoder
+from fibrelark.llm.byte_pairs import Encoder, read_vocabulary
 from fibrelark.llm.common import Scratch, batches, bytes_column, own_columns, trimmed
 
 # Bytes of ids in one batch that a task hands back, and rows of text that come to it at once.
@@ -46,6 +46,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def packets(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, seed: int) -> DataFrame:
     """row_id, doc_id, source, order_key, start, n, doc_tokens and ids (little-endian, ``width`` bytes each) of every packet."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_path))
     names = ["row_id", "doc_id", "source", "order_key", "start", "n", "doc_tokens", "width", "ids"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -55,7 +56,7 @@ def packets(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, seed
     @trimmed
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _ENCODERS:
-            _ENCODERS[tokenizer_path] = Encoder(tokenizer_path)
+            _ENCODERS[tokenizer_path] = Encoder(tokenizer_path, vocabulary.value)
         encoder = _ENCODERS[tokenizer_path]
         end = np.array([end_id], encoder.kind)
         for batch in batches(parts):
