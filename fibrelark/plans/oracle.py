@@ -371,4 +371,14 @@ SELECT 'level' AS feature_set, 1::BIGINT AS features, round(avg(l::INT), 6) AS a
 UNION ALL SELECT 'trend', 2, round(avg((l AND s)::INT), 6), min(CASE WHEN l AND s THEN tk END) FROM a
 UNION ALL SELECT 'all', 3, round(avg((l AND c)::INT), 6), min(CASE WHEN l AND c THEN tk END) FROM a""",
     "q63_reason_counts": f"WITH RECURSIVE {_MACHINE} SELECT reason, count(*) AS n FROM incidents GROUP BY 1",
+    "q70_segmented_scan": f"""
+WITH {_GRID}, y AS (SELECT entity_id, tk, (v - 50) / 10 AS x FROM grid),{_segments('y', 'x', 'sg')},
+f AS (SELECT *, CASE WHEN pos >= 3 THEN -x - 0.25 END AS fall, sum(CASE WHEN coalesce(x > 0, false) THEN 0 ELSE 1 END) OVER (PARTITION BY entity_id ORDER BY tk) AS island FROM sg),
+t AS (SELECT *, sum(fall) OVER (PARTITION BY entity_id, segment ORDER BY tk) AS s FROM f),
+m AS (SELECT *, min(s) OVER (PARTITION BY entity_id, segment ORDER BY tk) AS low FROM t)
+SELECT entity_id, tk AS timestamp, segment::BIGINT AS segment, pos::BIGINT AS pos,
+  (sum(CASE WHEN coalesce(x > 0, false) THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, island ORDER BY tk))::BIGINT AS run,
+  max(CASE WHEN x IS NOT NULL THEN tk END) OVER (PARTITION BY entity_id ORDER BY tk) AS seen,
+  CASE WHEN fall IS NOT NULL THEN round(s - least(0, low), 6) + 0.0 END AS cusum FROM m""",
 }
+ORACLE_SQL["q71_latch_in_blocks"] = ORACLE_SQL["q30_incidents_latch"]

@@ -21,7 +21,8 @@ from fibrelark.operators.matching import eligible, match_events
 from fibrelark.operators.reference import harmonic_fit
 from fibrelark.operators.regression import average_rank, correlation, fitted, least_squares, spearman
 from fibrelark.operators.scoring import combined, fit_normalizer
-from fibrelark.operators.segments import last_seen, run_length, with_segments
+from fibrelark.operators.scans import DAY, lower_cusum
+from fibrelark.operators.segments import last_seen, run_length, with_last_seen, with_segments
 from fibrelark.operators.splits import TemporalSplit
 from fibrelark.plans import views as v
 from fibrelark.schema import METRICS, fec_metric
@@ -426,6 +427,21 @@ def q63_reason_counts(spark, sf_dir):
     return v.incidents(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q70_segmented_scan(spark, sf_dir):
+    """Segments, runs, last seen times and CUSUM of series worked in blocks of a day, by as many tasks."""
+    rows = v.long(spark, sf_dir).select("entity_id", "timestamp", ((F.col("raw") - 50) / 10).alias("x"))
+    rows = with_segments(rows, ["entity_id"], "x", v.HOUR, block=DAY)
+    rows = run_length(rows, ["entity_id"], F.col("x") > 0, block=DAY)
+    rows = with_last_seen(rows, ["entity_id"], "x", "seen", block=DAY)
+    return lower_cusum(rows, ["entity_id"], "x", 3, 0.25, block=DAY).drop("x")
+
+
+def q71_latch_in_blocks(spark, sf_dir):
+    """The incidents of q30, each entity's history worked in blocks of five days."""
+    scores = v.scored(spark, sf_dir).select("entity_id", "timestamp", "score")
+    return latch(scores, v.POLICY, 5 * DAY).withColumn("end_time", F.unix_micros("end_time") / 1e6)
+
+
 def _tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times mean UTC
