@@ -32,6 +32,7 @@ RANK = {kind: k for k, kind in enumerate(KINDS)}
 
 # Cues before a secret or an account number.
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key")
+BEARER_CUES = ("bearer",)
 ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "passport")
 
 _DIGITS = frozenset("0123456789")
@@ -42,9 +43,14 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9]+")
 _URL = re.compile(r"[A-Za-z0-9][^\s<>\"'|\\^`{}]*")
-_SECRET = re.compile(r"[\"']?[ \t]{0,3}(?:=|:|:=)[ \t]{0,3}[\"']?([A-Za-z0-9+/_.-]{16,})")
-_ACCOUNT = re.compile(r"[ \t]{0,3}(?:no\.?|number|nr\.?|#|:|=)?[ \t]{0,3}([A-Z]{0,2}[0-9][0-9A-Z -]{6,}[0-9A-Z])")
-_GROUP = re.compile(r"[0-9A-Z]+")
+# Any number of blanks; what follows a cue can always match, so no blanks are read twice.
+_SECRET = re.compile(r"[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*[\"']?([A-Za-z0-9+/_.-]{8,})")
+_BEARER = re.compile(r"[ \t]+[\"']?([A-Za-z0-9+/_.~-]{16,})")
+_ACCOUNT = re.compile(r"[ \t]*(?:numbers?\b|no\b\.?|nr\b\.?|#)?[ \t]*(?:is\b|=>|:=|=|:)?[ \t]*")
+_ACCOUNT_START = re.compile(r"[A-Z]{0,2}[0-9]")
+# No account is longer than an IBAN, so a group is read up to one character more.
+ACCOUNT_LENGTH = 34
+_GROUP = re.compile(r"[ -]*([0-9A-Z]{1,%d})" % (ACCOUNT_LENGTH + 1))
 _TRAILING = ".,;:!?)]}*$%&#"
 
 
@@ -56,7 +62,7 @@ def _automaton() -> ahocorasick.Automaton:
         found.add_word(digit, ("digit", 1))
     for scheme in ("http://", "https://", "ftp://"):
         found.add_word(scheme, ("scheme", len(scheme)))
-    for cues, kind in ((SECRET_CUES, "secret"), (ACCOUNT_CUES, "account")):
+    for cues, kind in ((SECRET_CUES, "secret"), (BEARER_CUES, "bearer"), (ACCOUNT_CUES, "account")):
         for cue in cues:
             found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
@@ -101,16 +107,17 @@ def _iban_holds(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
-def _account_end(said: str) -> int:
-    """Where an account number at the start of this run of groups ends, the longest that holds; 0 if none does."""
-    found, value = 0, ""
-    for group in _GROUP.finditer(said):
-        value += group[0]
-        if len(value) > 34:
-            break
-        if _iban_holds(value) or (value.isdigit() and 8 <= len(value) <= 18):
-            found = group.end()
-    return found
+def _account(text: str, at: int) -> tuple[int, int] | None:
+    """The account number whose groups begin here, the longest that holds: an IBAN, or 8 digits or more."""
+    if not _ACCOUNT_START.match(text, at):
+        return None
+    end, value, place = 0, "", at
+    while (group := _GROUP.match(text, place)) and len(value) + len(group[1]) <= ACCOUNT_LENGTH:
+        value += group[1]
+        place = group.end()
+        if _iban_holds(value) or (value.isdigit() and len(value) >= 8):
+            end = place
+    return (at, end) if end else None
 
 
 def _cards_within(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -169,12 +176,13 @@ def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
                 if end > last + 1:
                     ends["url"] = m.end()
                     more.append(("url", at, end))
-        elif anchor == "secret":
-            if (m := _SECRET.match(text, last + 1)) and any(c in _DIGITS for c in m[1]):
-                more.append(("secret", m.start(1), m.end(1)))
-        elif (m := _ACCOUNT.match(text, last + 1)) and (at == 0 or not text[at - 1].isalpha()):
-            if end := _account_end(m[1]):
-                more.append(("account", m.start(1), m.start(1) + end))
+        elif anchor in ("secret", "bearer"):
+            found = (_SECRET if anchor == "secret" else _BEARER).match(text, last + 1)
+            # A short number behind a cue is no secret.
+            if found and any(c in _DIGITS for c in found[1]) and (len(found[1]) >= 16 or not found[1].isdigit()):
+                more.append(("secret", found.start(1), found.end(1)))
+        elif (at == 0 or not text[at - 1].isalpha()) and (span := _account(text, _ACCOUNT.match(text, last + 1).end())):
+            more.append(("account", *span))
     order = lambda s: (s[1], RANK[s[0]], s[2])
     base.sort(key=order)
     taken = set(base)
