@@ -10,15 +10,17 @@ word edits of it.
    for an item of five words. Every three (two) words in a row of a document that an
    item also has place an item-sized window; no match can be missed, and nothing else
    is embedded.
+   An item of more than SCREENED_WORDS words is cut into even slices, each with its own
+   windows: of all edits of a match, one slice has no more than its own limit, as the
+   limits of the slices and one add up to more than the item's.
 2. The CGK random walk reads a window under a shared random source and turns its edit
-   distance to an item into a Hamming distance. Each of REPEATS tables samples a few
+   distance to a slice into a Hamming distance. Each of REPEATS tables samples a few
    positions of one of several embeddings; the places depend on the number of words
    only, so the items of a size are indexed by their buckets once, and a window is
    looked up in all tables of its size. Items in one of its buckets are candidates.
    BITS and REPEATS are chosen so that a window at the edit limit is found with a
-   probability over 0.99 (measured in the tests) for items of LEAST_SCREENED to
-   SCREENED_WORDS words. The walks drift apart in longer ones and shorter ones have few
-   windows, so all windows of those are candidates.
+   probability over 0.99 (measured in the tests) for slices of all sizes; items of up to
+   four words have no edits, and equal windows share every bucket.
 3. Candidates are verified by the exact edit distance with free ends: bit-parallel for
    the edits and the end, then a band of the plain table for the start.
 
@@ -27,8 +29,8 @@ index (about 20 MB), and broadcast; each block is one pass over the documents, w
 texts are never shuffled.
 
 Defined results: null or empty texts and items match nothing; very long texts and
-items are searched whole; items of one or two
-words are not searched, since a common pair is no evidence; a null
+items are searched whole; items of one or two words are searched as others are, unless
+``min_words`` leaves them out (a common word is little evidence of a leak); a null
 doc_id or item_id is carried; repeated rows match each; empty tables give an empty
 result; other columns are ignored.
 """
@@ -47,13 +49,12 @@ from pyspark.sql import functions as F
 from fibrelark.llm.common import batches, mix64, text_column
 
 MOST_EDITS = 0.2
-MIN_WORDS = 3
+MIN_WORDS = 1  # shorter items are left out
 SEED_WORDS = 3
 PAIR_SEEDED = 5  # words of the items that a match need not share three words in a row with
 WALKS = 8
 REPEATS = 192
 BITS = 4
-LEAST_SCREENED = 8
 SCREENED_WORDS = 48
 BLOCK_WORDS = 200_000
 SLICE = 512  # windows embedded at once, which bounds a worker's memory
@@ -129,6 +130,17 @@ def edit_distance_within(item: list[int], stretch: list[int], limit: int) -> tup
     return (edits, row[end][1], end)
 
 
+def _sliced(own: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """An item in even slices of at most SCREENED_WORDS words, with their places."""
+    parts = np.array_split(own, -(-len(own) // SCREENED_WORDS))
+    return list(zip(np.cumsum([0, *(len(p) for p in parts[:-1])]).tolist(), parts, strict=True))
+
+
+def _seed_words(n: int) -> int:
+    """How many words in a row any match of so many words must share."""
+    return min(n, SEED_WORDS - 1 if n == PAIR_SEEDED else SEED_WORDS)
+
+
 class Walks:
     """The shared random source of the embeddings: for each walk and step, which words move the reader on."""
 
@@ -168,30 +180,32 @@ class Walks:
 
 
 class Items:
-    """A block of benchmark items as word ids: the places of every three words in a row, and the buckets of each size."""
+    """A block of benchmark items as word ids, in slices: the places of every three words in a row, and the buckets of each size."""
 
-    def __init__(self, items: list[tuple[int | None, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], min_words: int = MIN_WORDS) -> None:
         self.ids: dict[str, int] = {}
         self.items: list[tuple[int | None, np.ndarray]] = []
         for item_id, text in items:
             words = words_of(text)
-            if len(words) < MIN_WORDS:
+            if len(words) < max(1, min_words):
                 continue
             own = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.int64)
             self.items.append((item_id, own))
+        # Item, first word in it, words.
+        self.slices = [(k, int(at), part) for k, (_, own) in enumerate(self.items) for at, part in _sliced(own)]
         self.walks = Walks()
-        self.index = {n: self._indexed(n) for n in {len(own) for _, own in self.items} if LEAST_SCREENED <= n <= SCREENED_WORDS}
-        self.seeds = [self._seeds(width) for width in (SEED_WORDS, SEED_WORDS - 1)]
+        self.index = {n: self._indexed(n) for n in {len(part) for _, _, part in self.slices}}
+        self.seeds = [self._seeds(width) for width in range(SEED_WORDS, 0, -1)]
 
     def _indexed(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the items of n words in order, and whose each is."""
-        of_size = np.array([k for k, (_, own) in enumerate(self.items) if len(own) == n])
-        buckets = np.concatenate([self.walks.buckets(np.stack([self.items[k][1] for k in of_size[i : i + SLICE]])) for i in range(0, len(of_size), SLICE)])
+        """Buckets of the slices of n words in order, and whose each is."""
+        of_size = np.array([k for k, (_, _, own) in enumerate(self.slices) if len(own) == n])
+        buckets = np.concatenate([self.walks.buckets(np.stack([self.slices[k][2] for k in of_size[i : i + SLICE]])) for i in range(0, len(of_size), SLICE)])
         order = np.argsort(buckets.reshape(-1), kind="stable")
         return buckets.reshape(-1)[order], np.repeat(of_size, REPEATS)[order].astype(np.int32)
 
     def looked_up(self, windows: np.ndarray) -> np.ndarray:
-        """Distinct (item, row of ``windows``) that share a bucket in any table."""
+        """Distinct (slice, row of ``windows``) that share a bucket in any table."""
         buckets, whose = self.index[windows.shape[1]]
         found = [np.zeros((0, 2), np.int64)]
         for i in range(0, len(windows), SLICE):
@@ -205,8 +219,8 @@ class Items:
         return np.unique(np.concatenate(found), axis=0)
 
     def _seeds(self, width: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the items that so many words in a row seed: width, codes in order, and the item and place of each."""
-        seeds = [(int(c), k, at) for k, (_, own) in enumerate(self.items) if (len(own) == PAIR_SEEDED) == (width < SEED_WORDS) for at, c in enumerate(self.codes(own, width))]
+        """Of the slices that so many words in a row seed: width, codes in order, and the slice and place of each."""
+        seeds = [(int(c), k, at) for k, (_, _, own) in enumerate(self.slices) if _seed_words(len(own)) == width for at, c in enumerate(self.codes(own, width))]
         codes, items, places = np.array(sorted(seeds), np.int64).reshape(-1, 3).T
         return width, codes, items, places
 
@@ -221,7 +235,7 @@ class Items:
         return np.where(known, out, -1)
 
     def windows(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, start) of item-sized windows that a seed places in the document."""
+        """Distinct (slice, start) of windows of its size that a seed places in the document."""
         found = np.concatenate([self._placed(words, *seeds) for seeds in self.seeds])
         return np.unique(found, axis=0) if len(found) else found
 
@@ -254,33 +268,30 @@ def joined(starts: np.ndarray, n: int, limit: int, size: int) -> list[tuple[int,
 
 
 def candidates(items: Items, words: np.ndarray) -> dict[int, np.ndarray]:
-    """Starts of candidate windows by item: those in one of its buckets, or all that seeds place where no buckets are kept."""
+    """Starts of candidate windows by item: where a slice's window is in one of the slice's buckets."""
     placed = items.windows(words)
-    out: dict[int, np.ndarray] = {}
     by_size: dict[int, list[np.ndarray]] = {}
     for k in np.unique(placed[:, 0]) if len(placed) else []:
-        own = items.items[k][1]
+        own = items.slices[k][2]
         n = len(own)
         limit = edit_limit(n)
         starts = placed[placed[:, 0] == k, 1]
         near = starts[(starts > -n) & (starts < len(words))]
-        # Too few words of the item within reach: no edit script can be short enough.
+        # Too few words of the slice within reach: no edit script can be short enough.
         members = np.concatenate([[0], np.cumsum(np.isin(words, own))])
         near = near[members[np.minimum(near + n + limit, len(words))] - members[np.maximum(near - limit, 0)] >= n - limit]
-        if not len(near):
-            continue
-        if n in items.index:
+        if len(near):
             by_size.setdefault(n, []).append(near)
-        else:
-            out[int(k)] = near
+    found: dict[int, list[np.ndarray]] = {}
     for n, lists in by_size.items():
         starts = np.unique(np.concatenate(lists))
         at = starts[:, None] + np.arange(n)[None, :]
         rows = np.where((at >= 0) & (at < len(words)), words[np.clip(at, 0, len(words) - 1)], 0)
         pairs = items.looked_up(np.where(rows == 0, -1, rows))  # a foreign word is no end of text
         for k in np.unique(pairs[:, 0]):
-            out[int(k)] = starts[pairs[pairs[:, 0] == k, 1]]
-    return out
+            item, first, _ = items.slices[k]
+            found.setdefault(item, []).append(starts[pairs[pairs[:, 0] == k, 1]] - first)
+    return {item: np.unique(np.concatenate(lists)) for item, lists in found.items()}
 
 
 def search(items: Items, text: str) -> list[tuple[int | None, int, int, int, int]]:
@@ -296,7 +307,7 @@ def search(items: Items, text: str) -> list[tuple[int | None, int, int, int, int
         limit = edit_limit(n)
         best = None
         # Windows that overlap are one stretch, so each word is read once.
-        for low, high in joined(near, n, limit, len(words)):
+        for low, high in joined(near[(near > -n - limit) & (near < len(words) + limit)], n, limit, len(words)):
             found = edit_distance_within(own.tolist(), listed[low:high], limit if best is None else best[0] - 1)
             if found:
                 best = (found[0], low + found[1], low + found[2])
@@ -318,18 +329,18 @@ def _blocks_of(spark: SparkSession, benchmark: DataFrame) -> list[DataFrame]:
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _indexed(spark: SparkSession, block: DataFrame):  # noqa: ANN202
+def _indexed(spark: SparkSession, block: DataFrame, min_words: int):  # noqa: ANN202
     """A block's index, built once and broadcast."""
     rows = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return spark.sparkContext.broadcast(Items(rows))
+    return spark.sparkContext.broadcast(Items(rows, min_words))
 
 
-def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, row_id: bool = False) -> DataFrame:
+def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, row_id: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
     """Pairs of a document and an item that leaks into it: doc_id, item_id, item_words, edits, first_word, end_word."""
     docs = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = []
     for block in _blocks_of(spark, benchmark):
-        shared = _indexed(spark, block)
+        shared = _indexed(spark, block, min_words)
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             items = shared.value
@@ -345,10 +356,10 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, row_i
     return leaks if row_id else leaks.drop("row_id")
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents that no item leaks into, with all their columns. Each row is decided by its own text."""
     for block in _blocks_of(spark, benchmark):
-        shared = _indexed(spark, block)
+        shared = _indexed(spark, block, min_words)
 
         def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             items = shared.value
