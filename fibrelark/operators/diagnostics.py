@@ -12,9 +12,10 @@ from pyspark.sql.window import Window
 
 from fibrelark.functions.columns import day_phase, finite
 from fibrelark.operators.grid import MINUTE, complete
-from fibrelark.operators.matching import day_of, on_days
+from fibrelark.operators.matching import meet
 from fibrelark.operators.regression import correlation, fitted, least_squares, spearman
 from fibrelark.operators.segments import last_seen, run_length
+from fibrelark.operators.selection import quantiles
 
 DAY_HOURS = 24.0
 
@@ -99,9 +100,8 @@ def development_faults(truth: DataFrame, native: DataFrame, end: datetime, inter
     faults = truth.filter((F.col("onset_time") < F.lit(end)) & (F.col("end_time") <= F.lit(end)))
     until = F.timestamp_micros(F.unix_micros("impact_time") - F.lit(int(minimum_lead_minutes * MINUTE)))
     spans = faults.select("fault_id", F.col("entity_id").alias("e"), F.col("observable_onset_time").alias("from"), until.alias("until"))
-    spans = on_days(spans, "from", "until")
     seen = native.select(F.col("device").alias("entity_id"), F.col("time").alias("timestamp"), finite(F.col("rx_dbm")).alias("value"))
-    view = seen.join(spans, (F.col("entity_id") == F.col("e")) & (day_of("timestamp") == F.col("__day")) & (F.col("timestamp") >= F.col("from")) & (F.col("timestamp") <= F.col("until")))
+    view = meet(seen, "entity_id", "timestamp", spans, "e", "from", "until", closed=True)
     us = F.unix_micros("timestamp")
     order = Window.partitionBy("fault_id").orderBy("timestamp")
     view = view.withColumn("__gap", F.coalesce(us - F.lag(us).over(order) != F.lit(interval_minutes * MINUTE), F.lit(True)))
@@ -121,14 +121,14 @@ def fault_contrasts(native: DataFrame, faults: DataFrame) -> DataFrame:
     """The day before each fault against the fault: medians, low tail, spread, missing shares; one range join."""
     rows = native.select(F.col("device").alias("d"), F.col("time").alias("t"), finite(F.col("rx_dbm")).alias("v"))
     f = faults.select("fault_id", "fault_type", "entity_id", "onset_time", "end_time").withColumn("from", F.expr("onset_time - INTERVAL 1 DAY"))
-    f = on_days(f, "from", "end_time")
-    joined = f.join(rows, (F.col("entity_id") == F.col("d")) & (day_of("t") == F.col("__day")) & (F.col("t") >= F.col("from")) & (F.col("t") < F.col("end_time")), "left")
+    joined = meet(rows, "d", "t", f, "entity_id", "from", "end_time")
     before, during = F.col("t") < F.col("onset_time"), F.col("t") >= F.col("onset_time")
     b, d = F.when(before, F.col("v")), F.when(during, F.col("v"))
     sums = joined.groupBy("fault_id", "fault_type").agg(
         F.median(b).alias("mb"), F.median(d).alias("md"), F.percentile(d, 0.05).alias("low"), F.stddev_samp(b).alias("sb"), F.stddev_samp(d).alias("sd"),
         F.avg(F.when(before, F.col("v").isNull().cast("double"))).alias("missing_before"), F.avg(F.when(during, F.col("v").isNull().cast("double"))).alias("missing_during"),
     )
+    sums = faults.select("fault_id", "fault_type").distinct().join(sums, ["fault_id", "fault_type"], "left")  # also faults without readings
     return sums.select(
         "fault_id", "fault_type", (F.col("md") - F.col("mb")).alias("median_change_db"), (F.col("low") - F.col("mb")).alias("low_tail_change_db"),
         F.when(F.col("sb") > 0, F.col("sd") / F.col("sb")).alias("std_ratio"), "missing_before", "missing_during",
@@ -246,17 +246,16 @@ def error_regimes(native: DataFrame, columns: list[str]) -> DataFrame:
     """For each count column: rows, share of zeros, median and 99th percentile."""
     long = native.select(*[finite(F.col(c)).alias(c) for c in columns]).unpivot([], columns, "measurement", "value")
     v = F.col("value")
-    return long.groupBy("measurement").agg(
-        F.count(v).alias("observed"), F.avg(F.when(v.isNotNull(), (v == 0).cast("double"))).alias("zero_fraction"), F.median(v).alias("median"), F.percentile(v, 0.99).alias("p99")
-    )
+    base = long.groupBy("measurement").agg(F.count(v).alias("observed"), F.avg(F.when(v.isNotNull(), (v == 0).cast("double"))).alias("zero_fraction"))
+    return base.join(quantiles(long, ["measurement"], "value", {"median": 0.5, "p99": 0.99}), "measurement")
 
 
 def hourly_profile(telemetry: DataFrame) -> DataFrame:
     """Median of values centred on their series' median, by UTC hour."""
     keys = ["entity_id", "metric_name"]
-    middle = telemetry.groupBy(*keys).agg(F.median("value").alias("m"))
+    middle = quantiles(telemetry, keys, "value", {"m": 0.5})
     centred = telemetry.join(middle, keys).select("metric_name", F.hour("timestamp").alias("hour"), (F.col("value") - F.col("m")).alias("c"))
-    return centred.groupBy("metric_name", "hour").agg(F.median("c").alias("median_centred"))
+    return quantiles(centred, ["metric_name", "hour"], "c", {"median_centred": 0.5})
 
 
 def outcome_summary(outcomes: DataFrame, by: Column | str = "fault_type") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from fibrelark.functions.columns import finite
 from fibrelark.operators.incidents import Policy, latch
-from fibrelark.operators.matching import day_of, eligible, match_events, on_days
+from fibrelark.operators.matching import eligible, match_events, meet
 from fibrelark.schema import ContractError
 
 MINUTE = 60_000_000
@@ -62,9 +62,7 @@ class Evaluator:
         reference = F.when(F.col("fault_type") == "variance_shift", F.col("onset_time")).otherwise(F.col("observable_onset_time"))
         deadline = F.timestamp_micros(F.unix_micros("impact_time") - F.lit(int(self.minimum_lead_minutes * MINUTE)))
         spans = faults.select("fault_id", F.col("entity_id").alias("e"), reference.alias("from"), deadline.alias("until")).filter("from <= until")
-        spans = on_days(spans, "from", "until").withColumnRenamed("__day", "day")
-        within = (F.col("timestamp") >= F.col("from")) & (F.col("timestamp") <= F.col("until"))
-        a = available.join(spans, (F.col("entity_id") == F.col("e")) & (day_of("timestamp") == F.col("day")) & within)
+        a = meet(available, "entity_id", "timestamp", spans, "e", "from", "until", closed=True)
         order = Window.partitionBy("fault_id").orderBy("timestamp")
         us = F.unix_micros("timestamp")
         held = F.col("value").isNotNull()

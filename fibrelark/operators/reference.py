@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fibrelark.functions.columns import day_phase
+from fibrelark.operators.selection import quantiles
 from fibrelark.schema import ContractError
+from fibrelark.sources.scratch import written
 
 MAD_TO_SD = 1.4826
 FLOOR, TEMPERATURE_FLOOR = 0.05, 0.1
@@ -50,21 +52,23 @@ def fit_references(long: DataFrame, window: int, interval_minutes: int, seasonal
     """
     keys = ["entity_id", "channel"]
     phase = day_phase(F.col("timestamp"))
-    fitted = harmonic_fit(long, keys, "raw", phase)
+    fitted = written(harmonic_fit(long, keys, "raw", phase), "fits")  # a row for each series
+    largest = fitted.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    middle_of = lambda rows, value, name: quantiles(rows, keys, value, {name: 0.5}, largest=largest)
     us = F.unix_micros("timestamp")
-    seen = long.groupBy(*keys).agg(F.median("raw").alias("middle"), (F.max(us) - F.min(us) + F.lit(interval_minutes * 60_000_000)).alias("span"))
+    seen = long.groupBy(*keys).agg((F.max(us) - F.min(us) + F.lit(interval_minutes * 60_000_000)).alias("span"))
     enough = F.col("n") >= max(100, 3 * window)
     if seasonal:
         enough = enough & (F.col("span") >= 2 * DAY) & F.col("rank_ok")
     model = fitted.join(seen, keys).withColumn("enough", enough)
     if not seasonal:
-        model = model.withColumns({"c0": F.col("middle"), "c1": F.lit(0.0), "c2": F.lit(0.0)})
+        model = model.join(middle_of(long, "raw", "middle"), keys).withColumns({"c0": F.col("middle"), "c1": F.lit(0.0), "c2": F.lit(0.0)})
     if strict and (bad := model.filter(~F.col("enough")).select(*keys).limit(5).collect()):
         raise ContractError(f"too little training history: {[tuple(r) for r in bad]}")
     model = model.filter("enough").select(*keys, "c0", "c1", "c2")
     raw = long.join(model, keys).select(*keys, (F.col("raw") - (F.col("c0") + F.col("c1") * F.sin(phase) + F.col("c2") * F.cos(phase))).alias("r"))
-    middle = raw.groupBy(*keys).agg(F.median("r").alias("m"))
-    spread = raw.join(middle, keys).groupBy(*keys).agg(F.median(F.abs(F.col("r") - F.col("m"))).alias("mad"))
+    middle = middle_of(raw, "r", "m")
+    spread = middle_of(raw.join(middle, keys).withColumn("apart", F.abs(F.col("r") - F.col("m"))), "apart", "mad")
     floor = F.when(F.col("channel").isin("ont_temperature", "olt_temperature"), TEMPERATURE_FLOOR).otherwise(FLOOR)
     return model.join(spread, keys).select(*keys, "c0", "c1", "c2", F.greatest(F.lit(MAD_TO_SD) * F.col("mad"), floor).alias("scale"))
 

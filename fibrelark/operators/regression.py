@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from fibrelark.operators.selection import average_ranks
 
 
 def least_squares(frame: DataFrame, keys: list[str], y: str, terms: list[Column]) -> DataFrame:
@@ -52,14 +53,8 @@ def correlation(a: Column, b: Column, least: int = 3) -> Column:
     return F.when(varied, r)
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank within keys, ties on average."""
-    by = Window.partitionBy(*keys)
-    return F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0
-
-
 def spearman(frame: DataFrame, keys: list[str], a: str, b: str, least: int = 3) -> DataFrame:
     """keys, paired, spearman: ranks are taken within the complete pairs of each group."""
     pairs = frame.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranks = pairs.withColumns({"__ra": average_rank(a, keys), "__rb": average_rank(b, keys)})
+    ranks = average_ranks(average_ranks(pairs, keys, a, "__ra"), keys, b, "__rb")
     return ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("paired"), correlation(F.col("__ra"), F.col("__rb"), least).alias("spearman"))

@@ -19,9 +19,10 @@ from fibrelark.operators.grid import resample
 from fibrelark.operators.incidents import latch
 from fibrelark.operators.matching import eligible, match_events
 from fibrelark.operators.reference import harmonic_fit
-from fibrelark.operators.regression import average_rank, correlation, fitted, least_squares, spearman
+from fibrelark.operators.regression import correlation, fitted, least_squares, spearman
 from fibrelark.operators.scoring import combined, fit_normalizer
 from fibrelark.operators.scans import DAY, lower_cusum
+from fibrelark.operators.selection import average_ranks, quantiles
 from fibrelark.operators.segments import last_seen, run_length, with_last_seen, with_segments
 from fibrelark.operators.splits import TemporalSplit
 from fibrelark.plans import views as v
@@ -241,11 +242,12 @@ def q40_missingness_report(spark, sf_dir):
 
 
 def q41_describe_percentiles(spark, sf_dir):
-    p = lambda c, q: F.percentile(c, q)
-    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean"), F.stddev_samp("l_quantity").alias("sd"), F.var_samp("l_discount").alias("var"),
-        p("l_extendedprice", 0.01).alias("p01"), F.median("l_extendedprice").alias("p50"), p("l_extendedprice", 0.99).alias("p99"), p("l_quantity", 0.05).alias("q05"),
-    )
+    rows = _table(spark, sf_dir, "lineitem")
+    base = rows.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean"), F.stddev_samp("l_quantity").alias("sd"), F.var_samp("l_discount").alias("var")
+    )
+    prices = quantiles(rows, ["l_returnflag"], "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p99": 0.99})
+    return base.join(prices, "l_returnflag").join(quantiles(rows, ["l_returnflag"], "l_quantity", {"q05": 0.05}), "l_returnflag")
 
 
 def q42_pearson_pairs(spark, sf_dir):
@@ -347,7 +349,7 @@ def q55_simulated_structure(spark, sf_dir):
 
 def q56_average_ranks(spark, sf_dir):
     rows = v.events(spark, sf_dir).select("event_id", "event_type", F.round("value", 0).alias("value"))
-    return rows.withColumn("rank", average_rank("value", ["event_type"])).select("event_id", "rank")
+    return average_ranks(rows, ["event_type"], "value").select("event_id", "rank")
 
 
 def q57_least_squares(spark, sf_dir):

@@ -13,6 +13,7 @@ from fibrelark.operators.grid import resample
 from fibrelark.operators.incidents import Policy, latch
 from fibrelark.operators.reference import fit_references, residuals
 from fibrelark.operators.scoring import fit_normalizer, normalize
+from fibrelark.operators.selection import quantiles
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
 HOUR = 3_600_000_000
@@ -67,7 +68,7 @@ def incidents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFram
 def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-ins for fault truth: single high values of a type, a day long, that no other one overlaps."""
     rows = events(spark, sf_dir).select("event_id", F.col("event_type").alias("entity_id"), "ts", "value")
-    bound = rows.groupBy("entity_id").agg(F.percentile("value", 0.98).alias("bound"))
+    bound = quantiles(rows, ["entity_id"], "value", {"bound": 0.98})
     high = rows.join(bound, "entity_id").filter(F.col("value") > F.col("bound"))
     us = F.unix_micros("ts")
     before = F.lag(us).over(Window.partitionBy("entity_id").orderBy("ts", "event_id"))

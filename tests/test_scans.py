@@ -6,7 +6,9 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from fibrelark.operators import selection
 from fibrelark.operators.incidents import MINUTE, Machine, Policy, latch
+from fibrelark.operators.matching import meet, with_cells, with_islands
 from fibrelark.operators.scans import FAN, lower_cusum, running
 from fibrelark.operators.segments import run_length, with_last_seen, with_segments
 
@@ -106,3 +108,67 @@ def test_latch_in_blocks_and_for_many_policies(spark, monkeypatch):
     for block in (None, 50 * MINUTE):
         got = [(r.policy_id, r.incident_id, us(r.start_time), us(r.end_time), r.max_score, r.reason) for r in latch(scores, table, block).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def grouped(spark, seed):
+    """Groups with ties, heavy values, outliers, nulls, one value, and none at all."""
+    rng = random.Random(seed)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(900)] + [("a", None)] * 5
+    rows += [("b", rng.choice([1.0, 1.0, 1.0, 2.0, 5.0, rng.random()])) for _ in range(700)]
+    rows += [("c", 10.0 ** rng.randint(-300, 300) * rng.choice([-1, 1])) for _ in range(500)]
+    rows += [("d", 3.5)] * 400 + [("e", 7.0), ("e", 8.0)] + [("f", None)] * 3 + [(None, float(k % 50)) for k in range(300)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "k string, v double").repartition(3)
+
+
+@pytest.mark.parametrize("limit", [20, 10_000])
+def test_exact_quantiles(spark, limit, monkeypatch):
+    monkeypatch.setattr(selection, "GRID", 8)
+    frame = grouped(spark, 3)
+    shares = {"low": 0.01, "q": 0.31, "mid": 0.5, "high": 0.98, "most": 1.0}
+    got = {r.k: tuple(r[n] for n in shares) for r in selection.quantiles(frame, ["k"], "v", shares, limit).collect()}
+    want = frame.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in shares.items()]).collect()
+    assert set(got) == {r.k for r in want} and len(got) == 7
+    for r in want:
+        for n, value in zip(shares, got[r.k], strict=True):
+            assert value == (None if r[n] is None else pytest.approx(r[n], rel=1e-12)), (r.k, n)
+    assert selection.quantiles(frame.limit(0), ["k"], "v", shares, limit).count() == 0
+
+
+def test_average_ranks(spark, monkeypatch):
+    monkeypatch.setattr(selection, "GRID", 8)
+    frame = grouped(spark, 4).withColumn("id", F.monotonically_increasing_id()).cache()
+    got = {r.id: r["rank"] for r in selection.average_ranks(frame, ["k"], "v").collect()}
+    rows = frame.collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in rows:
+        if r.v is not None:
+            by.setdefault(r.k, []).append(r.v)
+    for r in rows:
+        mine = by.get(r.k, [])
+        want = None if r.v is None else sum(x < r.v for x in mine) + (sum(x == r.v for x in mine) + 1) / 2
+        assert got[r.id] == want
+
+
+def test_interval_cells(spark):
+    rng = random.Random(8)
+    hour = timedelta(hours=1)
+    spans = [(k, rng.choice("ab"), T0 + rng.randrange(5000) * hour / 3, timedelta(0)) for k in range(40)]
+    spans = [(k, e, s, s + rng.choice([timedelta(0), hour / 7, hour, 30 * hour, 900 * hour, 90_000 * hour])) for k, e, s, _ in spans] + [(90, "a", None, T0), (91, "a", T0 + hour, T0)]
+    points = [(n, rng.choice("abc"), T0 + rng.randrange(-100, 9000) * hour / 5) for n in range(300)] + [(n, "a", s) for n, (_, _, s, _) in enumerate(spans[:20], 300)]
+    f = spark.createDataFrame(spans, "k int, e string, start timestamp, until timestamp")
+    p = spark.createDataFrame(points, "n int, entity string, t timestamp")
+    assert with_cells(f, "start", "until").groupBy("k").count().agg(F.max("count")).first()[0] <= 3  # ten years too
+    for closed in (False, True):
+        got = sorted((r.n, r.k) for r in meet(p, "entity", "t", f, "e", "start", "until", closed).collect())
+        assert got == sorted((n, k) for n, a, t in points for k, e, s, u in spans if a == e and s is not None and s <= t and (t <= u if closed else t < u))
+    assert meet(p, "entity", "t", f.limit(0), "e", "start", "until").count() == 0
+
+
+def test_islands_of_overlapping_faults(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    rows = [("f1", "a", 0, 5), ("f2", "a", 4, 6), ("f3", "a", 6, 9), ("f4", "a", 7, 30), ("f5", "a", 10, 11), ("f6", "a", 31, 32), ("g", "b", 0, 100)]
+    faults = spark.createDataFrame([(f, e, at(s), at(t)) for f, e, s, t in rows], "fault_id string, entity_id string, onset_time timestamp, end_time timestamp")
+    islands = {r.fault_id: r.island for r in with_islands(faults).collect()}
+    assert islands == {"f1": 1, "f2": 1, "f3": 2, "f4": 2, "f5": 2, "f6": 3, "g": 1}
