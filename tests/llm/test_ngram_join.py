@@ -5,6 +5,7 @@ import re
 from pathlib import Path
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from fibrelark.llm import ngram_join
@@ -158,3 +159,21 @@ def test_tidy_has_executors_collect_their_garbage(spark):
     start = collected()
     scratch.tidy()
     assert asked == [(0, 3, 1, 3)] and collected() >= start + 2  # the driver's own, and the tasks'
+
+
+def test_bitmaps_drop_inner_pairs_of_nodes(spark):
+    """Of the pairs of inner nodes that sizes leave, over documents of one band of sizes as blocks hold them."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(6000).collect()]
+    sets = {frozenset(s.tolist()): s for s in (ngram_join.shingle_set(t.encode()) for t in texts)}.values()
+    for low, high in ((25, 60), (60, 150), (150, 400), (400, 900)):
+        some = [s for s in sets if low <= len(s) < high][:512]
+        bits = np.stack([np.frombuffer(ngram_join._bitmap(s).tobytes(), np.uint64) for s in some])
+        n = np.array([len(s) for s in some])
+        rows = {"n": n, "pos": np.zeros(len(n), np.int64), "label": np.arange(len(n))}
+        counted = {}
+        left, right = ngram_join._leaf_pairs(rows, bits, None, counted)
+        assert len(some) > 60 and counted["bitmaps"] < 0.5 * counted["sizes"], (low, counted)
+        found = {(min(a, b), max(a, b)) for a, b in zip(left.tolist(), right.tolist(), strict=True)}
+        plain = [set(s.tolist()) for s in some]
+        links = {(a, b) for a in range(len(some)) for b in range(a) if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])}
+        assert {(b, a) for a, b in links} <= found
