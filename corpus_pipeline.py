@@ -1,4 +1,12 @@
-"""The corpus pipeline: rules, near duplicates, benchmark leaks, personal data, source mix."""
+"""The corpus pipeline: rules, near duplicates, benchmark leaks, personal data, source mix.
+
+Every stage keeps all columns of documents; the last adds ``copies`` (``mix_copies`` where the
+documents have a column of that name). Defined results: null and empty texts fail the quality
+rules; very long texts are read whole by each stage; rows are told apart by doc_id and text, so a
+null or repeated doc_id is a row of its own; of rows equal in both, one stays as a near duplicate
+of the others; a null source is a source of its own; null or repeated benchmark items are
+searched like any; empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
