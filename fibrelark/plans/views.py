@@ -27,42 +27,43 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def telemetry(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    entity = F.lit("all") if whole else F.col("event_type")
+def telemetry(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
+    # Types alone are too thin for references on the smallest tables; ``grouped`` joins them into two entities.
+    entity = F.when(F.col("event_type").isin("view", "click"), "visits").otherwise("actions") if grouped else F.col("event_type")
     return events(spark, sf_dir).select(F.col("ts").alias("timestamp"), entity.alias("entity_id"), F.lit("rx_power_dbm").alias("metric_name"), "value")
 
 
-def grid(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return resample(telemetry(spark, sf_dir, whole), 60)
+def grid(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
+    return resample(telemetry(spark, sf_dir, grouped), 60)
 
 
-def long(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return grid(spark, sf_dir, whole).select("entity_id", "timestamp", F.lit("rx").alias("channel"), F.col("value").alias("raw"))
+def long(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
+    return grid(spark, sf_dir, grouped).select("entity_id", "timestamp", F.lit("rx").alias("channel"), F.col("value").alias("raw"))
 
 
-def references(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    train = long(spark, sf_dir, whole).filter(F.col("timestamp") < F.lit(TRAIN_END))
+def references(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
+    train = long(spark, sf_dir, grouped).filter(F.col("timestamp") < F.lit(TRAIN_END))
     return fit_references(train, SPEC.window, 60)
 
 
-def residual_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return residuals(long(spark, sf_dir, whole), references(spark, sf_dir, whole))
+def residual_rows(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
+    return residuals(long(spark, sf_dir, grouped), references(spark, sf_dir, grouped))
 
 
-def features(spark: SparkSession, sf_dir: str, *names: str, whole: bool = False) -> DataFrame:
-    return summarise(residual_rows(spark, sf_dir, whole), SPEC, set(names)).drop("channel")
+def features(spark: SparkSession, sf_dir: str, *names: str, grouped: bool = False) -> DataFrame:
+    return summarise(residual_rows(spark, sf_dir, grouped), SPEC, set(names)).drop("channel")
 
 
-def scored(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
     """entity_id, timestamp, raw and score of the statistical detector."""
     # Calibration and scoring both read the raw scores; the cache is shared by queries with the same plan.
-    raw = features(spark, sf_dir, "slope", whole=whole).select("entity_id", "timestamp", (-F.col("slope")).alias("raw")).persist()
+    raw = features(spark, sf_dir, "slope", grouped=grouped).select("entity_id", "timestamp", (-F.col("slope")).alias("raw")).persist()
     calibration = raw.filter((F.col("timestamp") >= F.lit(TRAIN_END)) & (F.col("timestamp") < F.lit(CALIBRATION_END)))
     return normalize(raw, "raw", fit_normalizer(calibration, "raw", check=False), "score")
 
 
-def incidents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return latch(scored(spark, sf_dir, whole).select("entity_id", "timestamp", "score"), POLICY).persist()
+def incidents(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
+    return latch(scored(spark, sf_dir, grouped).select("entity_id", "timestamp", "score"), POLICY).persist()
 
 
 def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
