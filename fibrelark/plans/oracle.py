@@ -382,3 +382,39 @@ SELECT entity_id, tk AS timestamp, segment::BIGINT AS segment, pos::BIGINT AS po
   CASE WHEN fall IS NOT NULL THEN round(s - least(0, low), 6) + 0.0 END AS cusum FROM m""",
 }
 ORACLE_SQL["q71_latch_in_blocks"] = ORACLE_SQL["q30_incidents_latch"]
+
+# Time in days since a series' first bin, with sin and cos of the day.
+_SINCE = f"""{_GRID},
+since AS (SELECT *, (tk - min(tk) OVER (PARTITION BY entity_id)) / 86400e6 AS days FROM grid),
+ph2 AS (SELECT entity_id, tk, v, days, max(days) OVER (PARTITION BY entity_id) AS span, sin(days * 2 * pi()) AS s, cos(days * 2 * pi()) AS c FROM since)"""
+
+
+def _lagged_corr(value: str, before: str) -> str:
+    return _corr(f"CASE WHEN {before} IS NOT NULL THEN {value} END", f"CASE WHEN {value} IS NOT NULL THEN {before} END", 2)
+
+
+# The weekly terms need 21 days before the hold-out, which the 30 days of events never have.
+ORACLE_SQL["q45_holdout_r2"] = f"""
+WITH {_SINCE},
+l AS (SELECT *, lag(v, 1) OVER w AS l1, lag(v, 24) OVER w AS l24, days < span * 0.7 AS train FROM ph2 WINDOW w AS (PARTITION BY entity_id ORDER BY tk)),
+early AS (SELECT * FROM l WHERE train),
+fit AS ({_solve("early")}),
+base AS (SELECT entity_id, count(v) AS observed, avg(v) AS mean, stddev_samp(v) AS std, {_lagged_corr("v", "l1")} AS lag1, {_lagged_corr("v", "l24")} AS lag_daily,
+  count(v) FILTER (train) AS n_train, count(v) FILTER (NOT train) AS n_test, avg(v) FILTER (train) AS flat, max(span) * 0.7 AS cut FROM l GROUP BY 1),
+err AS (SELECT l.entity_id, avg(pow(v - (c0 + c1 * s + c2 * c), 2)) AS mse, avg(pow(v - flat, 2)) AS none FROM l JOIN fit USING (entity_id) JOIN base USING (entity_id)
+  WHERE NOT train AND v IS NOT NULL GROUP BY 1)
+SELECT entity_id, observed, round(mean, 6) AS mean, round(std, 6) AS std, round(lag1, 6) + 0.0 AS lag1, round(lag_daily, 6) + 0.0 AS lag_daily,
+  CASE WHEN n_train >= 100 AND n_test >= 30 THEN round(sqrt(c1 * c1 + c2 * c2), 6) END AS daily_amplitude,
+  CASE WHEN n_train >= 100 AND n_test >= 30 THEN round(1 - mse / none, 6) + 0.0 END AS daily_holdout_r2,
+  CASE WHEN cut >= 21 THEN error('weekly terms are expected to be missing') END::DOUBLE AS daily_weekly_holdout_r2
+FROM base LEFT JOIN fit USING (entity_id) LEFT JOIN err USING (entity_id)"""
+_RHO = math.exp(-1 / 6) * 1600 / 1609
+ORACLE_SQL["q65_healthy_statistics"] = f"""
+WITH {_SINCE},
+fit AS ({_solve("ph2")}),
+r AS (SELECT p.entity_id, tk, v - (c0 + c1 * s + c2 * c) AS r, sqrt(c1 * c1 + c2 * c2) AS a FROM ph2 p JOIN fit USING (entity_id) WHERE n >= 100),
+b AS (SELECT *, lag(r) OVER (PARTITION BY entity_id ORDER BY tk) AS before FROM r),
+t AS (SELECT entity_id, any_value(a) AS a, var_samp(r) AS var, {_lagged_corr("r", "before")} AS rho FROM b GROUP BY 1)
+SELECT entity_id, round(a, 6) AS daily_amplitude_db, 0.5::DOUBLE AS expected_amplitude_db, round(var, 6) AS residual_variance, 1609.0::DOUBLE AS expected_variance,
+  round(rho, 6) + 0.0 AS residual_lag1, round({_RHO!r}::DOUBLE, 6) AS expected_lag1, abs(a - 0.5) <= 0.1 AS amplitude_in_band, abs(var / 1609 - 1) <= 0.25 AS variance_in_band,
+  coalesce(abs(rho - {_RHO!r}) <= 0.1, false) AS correlation_in_band FROM t"""
