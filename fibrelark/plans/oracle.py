@@ -418,3 +418,16 @@ t AS (SELECT entity_id, any_value(a) AS a, var_samp(r) AS var, {_lagged_corr("r"
 SELECT entity_id, round(a, 6) AS daily_amplitude_db, 0.5::DOUBLE AS expected_amplitude_db, round(var, 6) AS residual_variance, 1609.0::DOUBLE AS expected_variance,
   round(rho, 6) + 0.0 AS residual_lag1, round({_RHO!r}::DOUBLE, 6) AS expected_lag1, abs(a - 0.5) <= 0.1 AS amplitude_in_band, abs(var / 1609 - 1) <= 0.25 AS variance_in_band,
   coalesce(abs(rho - {_RHO!r}) <= 0.1, false) AS correlation_in_band FROM t"""
+
+
+def _machine(opening: int, closing: int) -> str:
+    """The state machine with other counts."""
+    return _MACHINE.replace("hi2 >= 2", f"hi2 >= {opening}").replace("lo2 >= 3", f"lo2 >= {closing}")
+
+
+ORACLE_SQL["q38_tune_grid"] = "\nUNION ALL ".join(
+    f"""SELECT 'statistical|{o}|{c}' AS policy_id, count(*) AS incidents, count(*) FILTER (reason = 'recovery') AS recovered, round(max(max_score), 6) AS peak
+FROM (WITH RECURSIVE {_machine(o, c)} SELECT * FROM incidents) HAVING count(*) > 0"""
+    for o in (1, 2, 3)
+    for c in (3, 6)
+)
